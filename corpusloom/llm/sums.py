@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,14 +22,18 @@ def array_sums(build: Callable[[Iterator[pa.RecordBatch]], np.ndarray]):
         sums = build(batches).astype(np.float64).ravel()
         part = TaskContext.get().partitionId() % 1024
         used = [i for i in range(0, len(sums), _CHUNK) if sums[i : i + _CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i // _CHUNK for i in used], pa.int32()), pa.array([part] * len(used), pa.int32()), pa.array([sums[i : i + _CHUNK].tobytes() for i in used], pa.binary())], names=["chunk", "part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([i // _CHUNK for i in used], pa.int32()), pa.array([part] * len(used), pa.int32()), pa.array([zlib.compress(sums[i : i + _CHUNK].tobytes(), 1) for i in used], pa.binary())], names=["chunk", "part", "sums"])
 
     return run
 
 
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.float64)
+
+
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, np.float64) for c in table.column("sums").to_pylist())
-    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    total = sum(_unpack(c) for c in table.column("sums").to_pylist())
+    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def total(parts: DataFrame, size: int) -> np.ndarray:
@@ -36,7 +41,8 @@ def total(parts: DataFrame, size: int) -> np.ndarray:
     out = np.zeros(size)
     some = parts.groupBy("chunk", "part").applyInArrow(_add, KIND)
     for chunk, _, sums in some.groupBy("chunk").applyInArrow(_add, KIND).toLocalIterator():
-        out[chunk * _CHUNK : chunk * _CHUNK + len(sums) // 8] = np.frombuffer(sums, np.float64)
+        values = _unpack(sums)
+        out[chunk * _CHUNK : chunk * _CHUNK + len(values)] = values
     return out
 
 
