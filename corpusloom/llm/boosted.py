@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """Trees of a fixed depth, grown level by level on histograms of gradients."""
 
-    def __init__(self, n_trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, penalty: float = 2.0, least: float = 4.0):
+    def __init__(self, n_trees: int = 30, depth: int = 4, rate: float = 0.3, bins: int = 32, penalty: float = 2.0, least: float = 4.0):
         self.n_trees, self.depth, self.rate, self.bins, self.penalty, self.least = n_trees, depth, rate, bins, penalty, least
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
@@ -51,10 +51,11 @@ class BoostedTrees:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         z = self._binned(x)
-        out, rows = np.full(len(x), self.base), np.arange(len(x))
+        out, rows = np.full(len(x), self.base), np.arange(len(x)) * z.shape[1]
+        z = z.ravel()
         for feature, cut, value in zip(self.feature, self.cut, self.value, strict=True):
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
-                node = 2 * node + 1 + (z[rows, feature[node]] > cut[node])
+                node = 2 * node + 1 + (z[rows + feature[node]] > cut[node])
             out += value[node - (2**self.depth - 1)]
         return out

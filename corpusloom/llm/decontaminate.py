@@ -178,7 +178,6 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
-        F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))).alias("spans"),
     )
 
 

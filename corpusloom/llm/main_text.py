@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .boosted import BoostedTrees
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S | re.I)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
@@ -43,7 +43,6 @@ _TOKEN = re.compile(r"[a-z]+")
 # fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head template noscript svg canvas iframe object audio video math title select textarea button".split())
-RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("caption dd dt li tbody td tfoot th thead tr html body".split())
 # fixed values: attribute tokens that speak against and for content
@@ -53,167 +52,203 @@ NEGATIVE_TAGS = frozenset("nav footer aside header form menu dialog".split())
 POSITIVE_TAGS = frozenset("article main".split())
 
 
-class Node:
-    __slots__ = ("tag", "parent", "depth", "index", "children", "tokens", "chars", "link_chars", "commas", "stops", "tags", "links", "paragraphs", "begin", "blocks")
+class Page:
+    """Elements in page order (0 is the page itself) and texts (element, text, number of the block)."""
 
-    def __init__(self, tag: str, parent: int, depth: int, index: int, tokens: tuple[str, ...]):
-        self.tag, self.parent, self.depth, self.index, self.tokens = tag, parent, depth, index, tokens
-        self.children: list[int] = []
-        self.chars = self.link_chars = self.commas = self.stops = self.tags = self.links = self.paragraphs = self.blocks = 0
-        self.begin = 0
+    __slots__ = ("tags", "parents", "depths", "places", "tokens", "texts")
 
+    def __init__(self):
+        self.tags, self.parents, self.depths, self.places, self.tokens = ["#page"], [-1], [0], [0], [()]
+        self.texts: list[tuple[int, str, int]] = []
 
-def _matches(page: str) -> Iterator[re.Match]:
+
+def _pieces(source: str) -> Iterator[tuple[str, str | None, str, str]]:
+    """(text before, tag name or None, "/" of a closing tag, attributes), then the rest; tags that never close as well."""
     at = 0
-    while True:
-        m = _TAG.search(page, at)
-        loose = None
-        if m is None or m.start() > at:
-            cut = page.find("<", at)
-            while 0 <= cut < (m.start() if m else len(page)):
-                loose = _LOOSE.match(page, cut)
-                if loose:
-                    break
-                cut = page.find("<", cut + 1)
-        m = loose or m
-        if m is None:
-            return
-        yield m
+    for m in _TAG.finditer(source):
+        raw = source[at : m.start()]
         at = m.end()
-        if m.re.groups >= 2 and m[2] and not m[1] and m[2].lower() in RAW:
-            close = re.compile(rf"</{re.escape(m[2])}\b", re.I).search(page, at)
-            at = close.start() if close else len(page)
+        if "<" in raw:
+            yield from _loose(raw)
+            raw = ""
+        name = m[3]
+        yield raw, name and name.lower(), m[2] or "", m[4] or ""
+    yield from _loose(source[at:])
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
-    """Elements in page order (0 is the page), and texts as (element, text, number of the block)."""
-    nodes, texts = [Node("#page", -1, 0, 0, ())], []
-    stack, silent, block, at = [0], 0, 0, 0
+def _loose(raw: str) -> Iterator[tuple[str, str | None, str, str]]:
+    at = 0
+    for m in _LOOSE.finditer(raw):
+        yield raw[at : m.start()], m[2].lower(), m[1], m[3]
+        at = m.end()
+    yield raw[at:], None, "", ""
 
-    def text(raw: str) -> None:
-        if raw and not silent and not raw.isspace():
-            texts.append((stack[-1], html.unescape(raw), block))
+
+def parse(source: str) -> Page:
+    page = Page()
+    tags, parents, depths, places, all_tokens, texts = page.tags, page.parents, page.depths, page.places, page.tokens, page.texts
+    n_children = [0]
+    stack, silent, block = [0], 0, 0
 
     def close(to: int) -> None:
         nonlocal silent, block
         while len(stack) > to:
-            tag = nodes[stack.pop()].tag
+            tag = tags[stack.pop()]
             silent -= tag in SILENT
             block += tag in BLOCK
 
-    for m in _matches(page):
-        raw = page[at : m.start()]
-        if raw:
-            text(raw)
-        at = m.end()
-        if m[2] is None:
+    for raw, tag, slash, attributes in _pieces(source):
+        if raw and not silent and not raw.isspace():
+            texts.append((stack[-1], html.unescape(raw) if "&" in raw else raw, block))
+        elif raw and not silent and texts:
+            texts.append((stack[-1], " ", block))
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        is_block = tag in BLOCK
+        if slash:
             for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
+                if tags[stack[k]] == tag:
                     close(k)
                     break
             else:
-                block += tag in BLOCK
+                block += is_block
             continue
-        if tag in ("br", "hr"):
-            text(" ") if tag == "hr" else texts.append((stack[-1], " ", block)) if not silent else None
-        if tag in BLOCK:
+        if is_block:
             block += 1
-            shuts = ("p",) if tag in CLOSES_P else (tag,) if tag in ("li", "tr", "option") else ("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else ()
+            shuts = ("p",) if tag in CLOSES_P else _SHUTS.get(tag, ())
             if shuts:
                 for k in range(len(stack) - 1, 0, -1):
-                    own = nodes[stack[k]].tag
+                    own = tags[stack[k]]
                     if own in shuts:
                         close(k)
                         break
                     if own in BLOCK:
                         break
         if tag in VOID:
+            if tag == "br" and not silent:
+                texts.append((stack[-1], " ", block))
             continue
-        tokens = ()
-        if m[3] and "=" in m[3]:
-            tokens = tuple(t for a in _ATTRIBUTE.findall(m[3]) for t in _TOKEN.findall(a.lower()))
-        if m[3].endswith("/") and tag not in BLOCK:
+        if not is_block and attributes.endswith("/"):
             continue
-        parent = stack[-1]
-        nodes.append(Node(tag, parent, len(stack), len(nodes[parent].children), tokens))
-        nodes[parent].children.append(len(nodes) - 1)
-        stack.append(len(nodes) - 1)
+        tokens = ()
+        if "=" in attributes:
+            tokens = tuple(t for a in _ATTRIBUTE.findall(attributes) for t in _TOKEN.findall(a.lower()))
+        up = stack[-1]
+        tags.append(tag)
+        parents.append(up)
+        depths.append(len(stack))
+        places.append(n_children[up])
+        all_tokens.append(tokens)
+        n_children[up] += 1
+        n_children.append(0)
+        stack.append(len(tags) - 1)
         silent += tag in SILENT
-    text(page[at:])
-    return nodes, texts
-
-
-def node_features(nodes: list[Node], texts: list[tuple[int, str, int]]) -> np.ndarray:
+    return page
+
+
+_SHUTS = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+
+
+class Forest:
+    """Arrays over the elements of many pages, one page after the other."""
+
+    def __init__(self, pages: list[Page]):
+        sizes = np.array([len(p.tags) for p in pages])
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        n = int(self.first[-1])
+        offset = np.repeat(self.first[:-1], sizes)
+        joined = lambda name: np.array([v for p in pages for v in getattr(p, name)], np.int64)
+        self.parent = joined("parents")
+        self.root = self.parent < 0
+        self.parent = np.where(self.root, np.arange(n), self.parent + offset)
+        self.depth, self.place = joined("depths"), joined("places")
+        by_depth = np.argsort(self.depth, kind="stable")
+        edges = np.searchsorted(self.depth[by_depth], np.arange(int(self.depth.max(initial=0)) + 2))
+        self.levels = [by_depth[a:b] for a, b in zip(edges[1:-1], edges[2:], strict=True)]  # without the roots
+        count = np.ones(n, np.int64)
+        for level in reversed(self.levels):
+            np.add.at(count, self.parent[level], count[level])
+        self.end = np.arange(n) + count  # elements below i are i + 1 to end[i]
+
+    def below(self, own: np.ndarray) -> np.ndarray:
+        """Sum over each element and all below it."""
+        run = np.concatenate([[0], np.cumsum(own)])
+        return run[self.end] - run[:-1]
+
+    def above(self, own: np.ndarray) -> np.ndarray:
+        """Sum over each element and all above it."""
+        out = own.copy()
+        for level in self.levels:
+            out[level] += out[self.parent[level]]
+        return out
+
+
+def node_features(pages: list[Page], forest: Forest) -> np.ndarray:
     """A row of features for each element, without article and main tags themselves."""
-    run, last_block = 0, [-1] * len(nodes)
-    own_begin = [None] * len(nodes)
-    for at, t, block in texts:
-        n, node = len(t), nodes[at]
-        node.chars += n
-        node.commas += t.count(",")
-        node.stops += t.count(".") + t.count("?") + t.count("!")
-        if last_block[at] != block:
-            node.blocks += 1
-            last_block[at] = block
-        if own_begin[at] is None:
-            own_begin[at] = run
-        run += n
-    total = max(run, 1)
-    in_link = [False] * len(nodes)
-    against, pro = [0] * len(nodes), [0] * len(nodes)
-    own_against, own_pro = [0] * len(nodes), [0] * len(nodes)
-    for i, node in enumerate(nodes):
-        up = node.parent
-        in_link[i] = node.tag == "a" or (up >= 0 and in_link[up])
-        own_against[i] = sum(t in AGAINST for t in node.tokens) + (node.tag in NEGATIVE_TAGS)
-        own_pro[i] = sum(t in FOR for t in node.tokens)
-        against[i] = own_against[i] + (against[up] if up >= 0 else 0)
-        pro[i] = own_pro[i] + (pro[up] if up >= 0 else 0)
-        node.link_chars = node.chars if in_link[i] else 0
-        node.tags, node.links, node.paragraphs = 1, int(node.tag == "a"), int(node.tag == "p")
-        node.begin = own_begin[i] if own_begin[i] is not None else total + 1
-    for i in range(len(nodes) - 1, 0, -1):
-        node, up = nodes[i], nodes[nodes[i].parent]
-        for name in ("chars", "link_chars", "commas", "stops", "tags", "links", "paragraphs", "blocks"):
-            setattr(up, name, getattr(up, name) + getattr(node, name))
-        up.begin = min(up.begin, node.begin)
-    out = np.zeros((len(nodes), 26), np.float32)
-    for i, node in enumerate(nodes):
-        up = nodes[node.parent] if node.parent >= 0 else node
-        brothers = up.children
-        before = nodes[brothers[node.index - 1]].chars if node.index and node.parent >= 0 else 0
-        after = nodes[brothers[node.index + 1]].chars if node.parent >= 0 and node.index + 1 < len(brothers) else 0
-        n = max(node.chars, 1)
-        tag = node.tag
-        out[i] = (
-            np.log1p(node.chars), node.link_chars / n, node.tags / n, node.links / node.tags, node.paragraphs / node.tags,
-            node.commas / n, node.stops / n, node.chars / max(node.blocks, 1), node.chars / total, min(node.begin, total) / total,
-            node.depth, node.index, len(brothers), np.log1p(before), np.log1p(after), node.chars / max(up.chars, 1),
-            own_against[i], against[i], own_pro[i], pro[i],
-            tag == "p", tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("ul", "ol", "li", "dl"), tag == "a", tag not in BLOCK, up.link_chars / max(up.chars, 1),
-        )
-    return out
-
-
-def node_labels(nodes: list[Node]) -> np.ndarray:
+    n = int(forest.first[-1])
+    parent = forest.parent
+    tags = [t for p in pages for t in p.tags]
+    kinds = np.array([_KIND.get(t, _INLINE if t not in BLOCK else 0) for t in tags], np.int64)
+    negative = np.array([t in NEGATIVE_TAGS for t in tags], np.int64)
+    against, pro = negative.copy(), np.zeros(n, np.int64)
+    for k, tokens in enumerate(t for p in pages for t in p.tokens):
+        if tokens:
+            against[k] += sum(t in AGAINST for t in tokens)
+            pro[k] = sum(t in FOR for t in tokens)
+    rows = [(forest.first[k] + at, len(t), t.count(","), t.count(".") + t.count("?") + t.count("!"), block) for k, p in enumerate(pages) for at, t, block in p.texts]
+    at, size, commas, stops, block = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 5
+    own = lambda w: np.bincount(at, w, minlength=n)
+    new_block = np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])]) if len(at) else np.zeros(0, bool)
+    begins = np.cumsum(size) - size
+    text_page = np.searchsorted(forest.first, at, "right") - 1
+    page_chars = np.bincount(text_page, size, minlength=len(pages))
+    begins = begins - (np.cumsum(page_chars) - page_chars)[text_page]
+    first_text = np.full(n + 1, np.iinfo(np.int64).max // 2)
+    np.minimum.at(first_text, at, begins)
+    spans = np.stack([np.arange(n), forest.end], 1).ravel()
+    begin = np.minimum.reduceat(first_text, spans)[::2] if n else first_text[:0]
+    total = np.maximum(np.repeat(page_chars, np.diff(forest.first)), 1)
+    in_link = forest.above((kinds == _KIND["a"]).astype(np.int64)) > 0
+    chars, n_tags = forest.below(own(size)), forest.below(np.ones(n))
+    link_chars = forest.below(np.where(in_link, own(size), 0))
+    links, paragraphs = forest.below(kinds == _KIND["a"]), forest.below(kinds == _KIND["p"])
+    some = np.maximum(chars, 1)
+    order = np.lexsort((forest.place, parent, forest.root))
+    order = order[: n - len(pages)]  # siblings next to each other, roots left out
+    same = parent[order[1:]] == parent[order[:-1]]
+    before, after, brothers = np.zeros(n), np.zeros(n), np.bincount(parent[~forest.root], minlength=n)[parent]
+    before[order[1:][same]] = chars[order[:-1][same]]
+    after[order[:-1][same]] = chars[order[1:][same]]
+    columns = [
+        np.log1p(chars), link_chars / some, n_tags / some, links / n_tags, paragraphs / n_tags,
+        forest.below(own(commas)) / some, forest.below(own(stops)) / some, chars / np.maximum(forest.below(own(new_block)), 1), chars / total, np.minimum(begin, total) / total,
+        forest.depth, forest.place, brothers, np.log1p(before), np.log1p(after), chars / some[parent],
+        against, forest.above(against), pro, forest.above(pro),
+        kinds == _KIND["p"], kinds == _KIND["h1"], kinds == _KIND["ul"], kinds == _KIND["a"], kinds == _INLINE, link_chars[parent] / some[parent],
+    ]
+    return np.stack(columns, 1).astype(np.float32)
+
+
+_INLINE = 9
+_KIND = {"p": 1, "a": 4} | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), 2) | dict.fromkeys(("ul", "ol", "li", "dl"), 3)
+
+
+def node_labels(page: Page) -> np.ndarray:
     """1: content by its markup, 0: not, -1: holds both or can't be told."""
-    label = np.full(len(nodes), -1)
-    for i, node in enumerate(nodes):
-        up = label[node.parent] if node.parent >= 0 else -1
-        bad = node.tag in NEGATIVE_TAGS or node.tag in SILENT or any(t in AGAINST for t in node.tokens)
-        label[i] = 0 if bad or up == 0 else 1 if node.tag in POSITIVE_TAGS or up == 1 else -1
-    inside = np.zeros((len(nodes), 2), bool)
-    for i in range(len(nodes) - 1, -1, -1):
+    n = len(page.tags)
+    label, inside = np.full(n, -1), np.zeros((n, 2), bool)
+    for i, (tag, up, tokens) in enumerate(zip(page.tags, page.parents, page.tokens, strict=True)):
+        above = label[up] if up >= 0 else -1
+        bad = tag in NEGATIVE_TAGS or tag in SILENT or any(t in AGAINST for t in tokens)
+        label[i] = 0 if bad or above == 0 else 1 if tag in POSITIVE_TAGS or above == 1 else -1
+    for i in range(n - 1, -1, -1):
         if label[i] >= 0:
             inside[i, label[i]] = True
         if i:
-            inside[nodes[i].parent] |= inside[i]
+            inside[page.parents[i]] |= inside[i]
     label[inside.all(1)] = -1
-    outside = (label == -1) & ~inside.any(1)
-    label[outside & inside[0, 1]] = 0
+    if inside[0, 1]:
+        label[(label == -1) & ~inside.any(1)] = 0
     return label
 
 
@@ -250,47 +285,41 @@ def _training_rows(page: str, other: str, seed: int) -> tuple[np.ndarray, np.nda
                 if depth == 0:
                     plain = text[:start] + "<article" + inner[len("<div data-main") : m.start()] + "</article" + inner[m.end() :]
                     break
-        nodes, texts = parse(text)
-        labelled, _ = parse(plain)
-        if len(labelled) != len(nodes):
+        parsed, labelled = parse(text), parse(plain)
+        if len(labelled.tags) != len(parsed.tags):
             continue
         label = node_labels(labelled)
-        x = node_features(nodes, texts)
+        x = node_features([parsed], Forest([parsed]))
         keep = (label >= 0) & (x[:, 0] > 0)
         xs.append(x[keep])
         ys.append(label[keep])
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def decode(nodes: list[Node], margin: np.ndarray, mixed: float = -0.7) -> np.ndarray:
-    """Which elements' own text is content; the choice of the largest sum of log probabilities."""
-    yes, no = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
-    has = np.array([n.chars > 0 for n in nodes])
-    yes, no = np.where(has, yes, 0.0), np.where(has, no, 0.0)
-    all_yes, all_no, best = yes.copy(), no.copy(), np.where(has, mixed, 0.0)
-    for i in range(len(nodes) - 1, -1, -1):
-        # children have been added by now
-        best[i] = max(best[i], all_yes[i], all_no[i])
-        if i:
-            up = nodes[i].parent
-            all_yes[up] += all_yes[i]
-            all_no[up] += all_no[i]
-            best[up] += best[i]
-    state = np.zeros(len(nodes), np.int64)  # 1: all content, -1: none, 0: mixed
-    for i, node in enumerate(nodes):
-        up = state[node.parent] if node.parent >= 0 else 0
-        if up:
-            state[i] = up
-        elif best[i] <= max(all_yes[i], all_no[i]) + 1e-12:
-            state[i] = 1 if all_yes[i] >= all_no[i] else -1
+def decode(forest: Forest, margin: np.ndarray, has_text: np.ndarray, mixed: float = -0.7) -> np.ndarray:
+    """Which elements' own text is content; the choice of the largest sum of log probabilities for each page."""
+    parent = forest.parent
+    all_yes = forest.below(np.where(has_text, -np.logaddexp(0, -margin), 0.0))
+    all_no = forest.below(np.where(has_text, -np.logaddexp(0, margin), 0.0))
+    best = np.where(has_text, mixed, 0.0)
+    for level in reversed(forest.levels):
+        best[level] = np.maximum(best[level], np.maximum(all_yes[level], all_no[level]))
+        np.add.at(best, parent[level], best[level])
+    best[forest.root] = np.maximum(best, np.maximum(all_yes, all_no))[forest.root]
+    whole = best <= np.maximum(all_yes, all_no) + 1e-9
+    own = np.where(whole, np.where(all_yes >= all_no, 1, -1), 0)
+    state = np.where(forest.root, own, 0)  # 1: all content, -1: none, 0: mixed
+    for level in forest.levels:
+        above = state[parent[level]]
+        state[level] = np.where(above != 0, above, own[level])
     # own text of a mixed element goes by its own probability
     return (state == 1) | ((state == 0) & (margin >= 0))
 
 
-def join_blocks(nodes: list[Node], texts: list[tuple[int, str, int]], content: np.ndarray) -> str:
+def join_blocks(page: Page, content: np.ndarray) -> str:
     blocks: list[list[str]] = []
     last = None
-    for at, t, block in texts:
+    for at, t, block in page.texts:
         if content[at]:
             if block != last:
                 blocks.append([])
@@ -300,24 +329,17 @@ def join_blocks(nodes: list[Node], texts: list[tuple[int, str, int]], content: n
     return "\n".join(line for line in lines if line)
 
 
-def extract_all(pages: list[str | None], model: BoostedTrees | None) -> list[str]:
-    parsed = [parse(p) if p else None for p in pages]
-    rows = [node_features(*p) for p in parsed if p]
-    margin = model.margin(np.concatenate(rows)) if model and rows else None
-    out, at = [], 0
-    for p in parsed:
-        if not p:
-            out.append("")
-            continue
-        nodes, texts = p
-        if margin is None:
-            label = node_labels(nodes)
-            content = label != 0
-        else:
-            content = decode(nodes, margin[at : at + len(nodes)])
-        at += len(nodes)
-        out.append(join_blocks(nodes, texts, content))
-    return out
+def extract_all(sources: list[str | None], model: BoostedTrees | None) -> list[str]:
+    pages = [parse(s or "") for s in sources]
+    if not pages:
+        return []
+    forest = Forest(pages)
+    if model:
+        x = node_features(pages, forest)
+        content = decode(forest, model.margin(x), x[:, 0] > 0)
+    else:
+        content = np.concatenate([node_labels(p) != 0 for p in pages])
+    return [join_blocks(p, content[a:b].tolist()) for p, a, b in zip(pages, forest.first[:-1], forest.first[1:], strict=True)]
 
 
 def train(pages: DataFrame, most: int = 300, most_chars: int = 200_000) -> BoostedTrees | None:
