@@ -107,15 +107,15 @@ def _pairs(tokens: np.ndarray, e: int) -> np.ndarray:
     return np.concatenate(out) if out else tokens[:0]
 
 
-def prefix_keys(value: np.ndarray, at: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of sets and the row of each. level: of every token, 0 if it is rare."""
+def prefix_keys(value: np.ndarray, at: np.ndarray, level: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of sets and the row of each. level: of every token, from the rarest up; tokens of level `cut` and up are frequent."""
     size = np.diff(at)
     row = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((value, level, row))
     value, level = value[order], level[order]
     place = np.arange(len(value)) - at[:-1][row]
     inside = place <= (size // 5)[row]
-    rare = level == 0
+    rare = level < cut
     keys, rows = [value[inside & rare]], [row[inside & rare]]
     for r in np.unique(row[inside & ~rare]):
         a, n = at[r], int(size[r])
@@ -128,7 +128,7 @@ def prefix_keys(value: np.ndarray, at: np.ndarray, level: np.ndarray) -> tuple[n
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _index(k: int, levels: np.ndarray):
+def _index(k: int, levels: np.ndarray, cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
@@ -143,7 +143,7 @@ def _index(k: int, levels: np.ndarray):
                 size = np.where(fresh, np.diff(at), 0)
                 value = value[np.repeat(fresh, np.diff(at))]
                 at = np.concatenate([[0], np.cumsum(size)])
-                keys, rows = prefix_keys(value, at, levels[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+                keys, rows = prefix_keys(value, at, levels[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], cut)
                 ids = batch.column("doc_id").take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids, pa.array(size[rows].astype(np.int32))], names=["key", "node", "n"])
 
@@ -184,7 +184,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str)
     return keep(pairs.join(first, "a").join(second, "b").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean"), name)
 
 
-def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 1000) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), copy_of (smallest id of an equal set).
 
     `percent` must be 80 or more, for which the prefix lengths hold.
@@ -194,8 +194,9 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     summary = keep(docs.mapInArrow(_summary(k), "doc_id bigint, n bigint, digest binary, chunk int, part int, counts binary"), "summary")
     sums = _sketch(summary.where("chunk is not null"))
-    cut = max(frequent, 8 * int(sums.mean()))
-    levels = np.ceil(np.log2(sums // cut + 1)).astype(np.uint8)  # 0: rare
+    low = 8 + 2 * int(sums.mean())
+    levels = np.ceil(2 * np.log2(np.maximum(sums, low) / low)).astype(np.uint8)  # 0: as rare as can be told
+    cut = int(np.ceil(2 * np.log2(max(frequent, 4 * low) / low)))
     rows = summary.where("chunk is null").select("doc_id", "n", "digest")
     copies = keep(
         rows.where("doc_id is not null and digest is not null").select("doc_id", "digest").join(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1"), "digest").select(F.col("doc_id").alias("node"), "copy_of").distinct(),
@@ -206,7 +207,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
         renamed = copies.select(F.col("node").alias(column), F.col("copy_of").alias("_of"))
         return frame.join(renamed, column, "left").withColumn(column, F.coalesce("_of", column)).drop("_of")
 
-    index = keep(docs.where("doc_id is not null").mapInArrow(_index(k, levels), "key bigint, node bigint, n int"), "index")
+    index = keep(docs.where("doc_id is not null").mapInArrow(_index(k, levels, cut), "key bigint, node bigint, n int"), "index")
     groups = keep(index.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first"), "groups")
     shared = only_marked(index, "key", groups.select("key"), 24).join(groups, "key")
     live = keep(as_class(as_class(shared, "node"), "first").distinct(), "live")
