@@ -12,9 +12,14 @@ pairs of frequent tokens of the same group are indexed. e is a power of two
 near |x| / 8; a document is indexed for the e of all sizes it can link to. No
 link is lost at any setting.
 
-Each indexed key joins its documents with their smallest one only; these pairs
-are verified on the whole sets. Keys whose documents are then still in
-different components get their other cross pairs verified too. Copies (equal
+Each indexed key joins its documents with one of them only; these pairs are
+verified on the whole sets, first around the smallest document, then, for keys
+whose documents are still in different components, around the smallest of the
+largest component. The other pairs across components of a key are verified too,
+but those that the measured distances rule out: Jaccard distance obeys the
+triangle inequality. Before sets are compared, bit sketches (parity of the
+number of tokens by bucket) rule out pairs that must differ in too many tokens.
+Copies (equal
 sets) are one node, found by a digest.
 
 Null, empty and white-space texts have no tokens and link with nothing. Fewer
@@ -43,6 +48,35 @@ CHUNK = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def odd_sketch(value: np.ndarray) -> bytes:
+    """A bit for each of 2**j buckets, at least twice as many as values: whether an odd number of values is in it."""
+    bits = max(8, (2 * len(value) - 1).bit_length())
+    return np.packbits(np.bincount((value & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1, bitorder="little").tobytes() if len(value) else b""
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Values that are in one of two sets only, at least, by their odd sketches; the larger is folded to the smaller's size."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _close(percent: int):
+    """Pairs whose sketches don't show more differences than a link allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            differ = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)], np.int64)
+            # linked: differences <= (1 - s) / (1 + s) of the sum of sizes
+            yield batch.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= (100 - percent) * n))
+
+    return run
+
+
 def _summary(k: int):
     """Rows of each document (id, n, digest), then this task's part of the count sketch."""
 
@@ -62,7 +96,8 @@ def _summary(k: int):
                 size = np.diff(at)
                 counts += np.bincount((value[np.repeat(fresh, size)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
                 n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "digest", "chunk", "part", "counts"])
+                odd = [odd_sketch(value[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(odd, pa.binary())], names=["doc_id", "n", "digest", "chunk", "part", "counts"])
         chunks = [(i, counts[i * CHUNK : (i + 1) * CHUNK]) for i in range(len(counts) // CHUNK)]
         used = [(i, c) for i, c in chunks if c.any()]
         n, part = len(used), TaskContext.get().partitionId() % 1024
@@ -164,24 +199,28 @@ def _sets(k: int):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
+            good, far = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 good[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good)], names=["a", "b", "linked"])
+                far[i] = 1 - shared / (len(x) + len(y) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good), pa.array(far)], names=["a", "b", "linked", "distance"])
 
     return run
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) with `linked`, each from the two whole sets."""
+def _checked(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """Pairs (a, b) with `linked` and their Jaccard distance from the two whole sets; without those that sketches rule out."""
+    one = sketches.select(F.col("doc_id").alias("a"), "n", F.col("odd").alias("x"))
+    other = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
+    pairs = keep(pairs.join(one, "a").join(other, "b").mapInArrow(_close(percent), "a bigint, b bigint").distinct(), "close")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     sets = only_marked(docs, "doc_id", nodes).mapInArrow(_sets(k), "node bigint, tokens binary")
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return keep(pairs.join(first, "a").join(second, "b").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean"), name)
+    return keep(pairs.join(first, "a").join(second, "b").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean, distance double"), name)
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 256) -> DataFrame:
@@ -198,6 +237,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     levels = np.ceil(2 * np.log2(np.maximum(sums, low) / low)).astype(np.uint8)  # 0: as rare as can be told
     cut = int(np.ceil(2 * np.log2(max(frequent, 4 * low) / low)))
     rows = summary.where("chunk is null").select("doc_id", "n", "digest")
+    sketches = summary.where("chunk is null and n > 0").select("doc_id", "n", F.col("counts").alias("odd"))
     copies = keep(
         rows.where("doc_id is not null and digest is not null").select("doc_id", "digest").join(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1"), "digest").select(F.col("doc_id").alias("node"), "copy_of").distinct(),
         "copies",
@@ -212,22 +252,51 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     shared = only_marked(index, "key", groups.select("key"), 24).join(groups, "key")
     live = keep(as_class(as_class(shared, "node"), "first").distinct(), "live")
     discard(index)
-    size = live.select(F.col("node").alias("first"), F.col("n").alias("m")).distinct()
     near = F.expr("5 * least(n, m) >= 4 * greatest(n, m)")
-    pairs = keep(
-        live.where("node <> first").select("first", "node", "n").distinct().join(size, "first").where(near).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(),
-        "pairs",
-    )
-    checked = _checked(docs, pairs, k, percent, "checked")
+
+    def to_first(rows: DataFrame) -> DataFrame:
+        """Pairs of each node and its key's `first`, without those of sizes too different to link."""
+        sizes = live.select(F.col("node").alias("first"), F.col("n").alias("m")).distinct()
+        return rows.where("node <> first").select("first", "node", "n").distinct().join(sizes, "first").where(near).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
+
+    def placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Rows of the keys whose nodes are in several components so far, with their component."""
+        stars = keep(connected_components(links), "stars")
+        own = rows.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        still = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("nodes")).where("low <> high and nodes > 2").select("key")
+        return keep(own.join(still, "key"), "open")
+
+    def with_distance(rows: DataFrame, checked: DataFrame, low: str, high: str) -> DataFrame:
+        """Bounds of each node's distance from its key's `first`."""
+        d = checked.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "distance")
+        joined = rows.withColumn("_a", F.least("node", "first")).withColumn("_b", F.greatest("node", "first")).join(d, ["_a", "_b"], "left")
+        own = F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("distance"))
+        # a pair that was not measured is known to be 0.2 apart at least
+        return joined.withColumn(low, F.coalesce(own, F.lit(0.2))).withColumn(high, F.coalesce(own, F.lit(1.0))).drop("_a", "_b", "distance")
+
+    pairs = keep(to_first(live), "pairs")
+    checked = _checked(docs, sketches, pairs, k, percent, "checked")
     links = checked.where("linked").select("a", "b")
-    stars = keep(connected_components(links), "stars")
-    placed = live.select("key", "node", "n").distinct().join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("nodes")).where("low <> high and nodes > 2").select("key")
-    rest = keep(placed.join(open_keys, "key"), "rest")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"))
-    right = rest.select("key", F.col("node").alias("b"), "n", F.col("component").alias("d"))
-    more = keep(left.join(right, "key").where("a < b and c <> d").where(near).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    further = _checked(docs, more, k, percent, "further").where("linked").select("a", "b")
+    rest = placed(with_distance(live, checked, "low1", "high1").drop("first").distinct(), links)
+    # second star: around the smallest node of the largest component of each key that is still open
+    counts = rest.groupBy("key", "component").agg(F.count("*").alias("nodes"), F.min("node").alias("least"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("nodes", "least")).alias("s")).select("key", F.col("s.least").alias("first"))
+    rest = keep(rest.drop("component").join(largest, "key"), "second")
+    again = _checked(docs, sketches, to_first(rest), k, percent, "again")
+    links = links.union(again.where("linked").select("a", "b"))
+    rest = placed(with_distance(rest, again, "low2", "high2").drop("first"), links)
+
+    def side(node: str, tail: str) -> DataFrame:
+        names = {"node": node, "n": "n" if tail == "" else "m", "component": f"c{tail}"} | {c: f"{c}{tail}" for c in ("low1", "high1", "low2", "high2")}
+        return rest.select("key", *(F.col(c).alias(v) for c, v in names.items()))
+
+    # by the triangle inequality two nodes whose distances from a third differ by more than 0.2 can't link
+    apart = " and ".join(f"low{i} - high{i}_ <= 0.2000001 and low{i}_ - high{i} <= 0.2000001" for i in (1, 2))
+    more = keep(
+        side("a", "").join(side("b", "_"), "key").where("a < b and c <> c_").where(near).where(apart).select("a", "b").distinct().join(checked.union(again).select("a", "b"), ["a", "b"], "left_anti"),
+        "more",
+    )
+    further = _checked(docs, sketches, more, k, percent, "further").where("linked").select("a", "b")
     edges = links.union(further).union(copies.select(F.col("node").alias("a"), F.col("copy_of").alias("b")))
     found = connected_components(edges).withColumnRenamed("node", "doc_id")
     return (
