@@ -1,3 +1,310 @@
-"""Queries of the library and their SQL."""
+"""Queries of the library over the given tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import questions as Q
+from ..functions import text as T
+from ..operators import corpus, retrieval, training
+from ..sources import crawl
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
+
+
+def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+_STRIP = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+_WS = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+_DENSE = r"regexp_replace(coalesce(text, ''), '\s+', '', 'g')"
+_ALPHA = f"CASE WHEN length({_DENSE}) > 0 THEN CAST(length(regexp_replace({_DENSE}, '[^\\p{{L}}]', '', 'g')) AS DOUBLE) / length({_DENSE}) ELSE 0 END"
+_DIGIT = f"CASE WHEN length({_DENSE}) > 0 THEN CAST(length(regexp_replace({_DENSE}, '[^\\p{{Nd}}]', '', 'g')) AS DOUBLE) / length({_DENSE}) ELSE 0 END"
+_REPEAT = r"""lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '\s+', ' ', 'g')) AS line FROM documents) WHERE line <> '' GROUP BY ALL),
+repeats AS (SELECT doc_id, CASE WHEN sum(n) >= 4 THEN CAST(max(n) AS DOUBLE) / sum(n) ELSE 0.0 END AS ratio FROM lines GROUP BY doc_id)"""
+_QUALITY = f"""WITH {_REPEAT}
+SELECT doc_id, CASE WHEN length({_DENSE}) = 0 THEN 'empty' WHEN {_ALPHA} < 0.45 THEN 'low_alpha_ratio' WHEN {_DIGIT} > 0.45 THEN 'high_digit_ratio'
+  WHEN coalesce(ratio, 0) > 0.5 THEN 'repeat_lines' ELSE '' END AS reason FROM documents LEFT JOIN repeats USING (doc_id)"""
+_TOKENS = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_POST = f"""tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+post AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS r FROM post GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+_BM25 = f"""{_POST},
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+avgdl AS (SELECT avg(len(t)) AS a FROM tok),
+bm AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT a FROM avgdl)))), 6) AS score
+  FROM post JOIN idf USING (term) JOIN q USING (term) GROUP BY ALL)"""
+
+
+def _top(name: str, k: int) -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name} QUALIFY rank <= {k})"
+
+
+_DENSE_SQL = """dn AS (SELECT b.item_id AS query_id, e.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score
+  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents))"""
+_BOTH = f"""WITH {_BM25}, {_DENSE_SQL}, s AS {_top("bm", 50)}, d AS {_top("dn", 50)},
+f AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.doc_id, s.doc_id) AS doc_id, d.rank AS dr, s.rank AS sr, d.score AS ds, s.score AS ss FROM d FULL JOIN s ON d.query_id = s.query_id AND d.doc_id = s.doc_id)"""
+
+
+def _fused(score: str, ties: str = "") -> str:
+    return f"{_BOTH}, g AS (SELECT query_id, doc_id, dr, sr, {score} AS score FROM f) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {ties} doc_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 10"
+
+
+def _scaled(c: str) -> str:
+    w = "OVER (PARTITION BY query_id)"
+    return f"coalesce(({c} - min({c}) {w}) / CASE WHEN max({c}) {w} > min({c}) {w} THEN max({c}) {w} - min({c}) {w} ELSE 1 END, 0)"
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
+def clean_text(spark, folder):
+    return documents(spark, folder).select("doc_id", T.clean_basic(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {_WS} AS text FROM documents")
+def normalize_whitespace(spark, folder):
+    return documents(spark, folder).select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE length({_STRIP}) >= 100")
+def min_chars_filter(spark, folder):
+    return documents(spark, folder).where(F.length(T.strip(F.col("text"))) >= 100).select("doc_id")
+
+
+@query(f"WITH {_REPEAT} SELECT doc_id, round(coalesce(ratio, 0.0), 9) AS ratio FROM documents LEFT JOIN repeats USING (doc_id)")
+def repeat_line_ratio(spark, folder):
+    return documents(spark, folder).select("doc_id", F.round(T.repeat_line_ratio(F.col("text")), 9).alias("ratio"))
+
+
+@query(_QUALITY)
+def quality_reason(spark, folder):
+    return documents(spark, folder).select("doc_id", corpus.quality_reason(F.col("text")).alias("reason"))
+
+
+@query(f"SELECT reason, count(*) AS n FROM ({_QUALITY}) GROUP BY reason")
+def quality_reason_counts(spark, folder):
+    return documents(spark, folder).groupBy(corpus.quality_reason(F.col("text")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower({_WS})")
+def dedupe_exact(spark, folder):
+    return corpus.dedupe_exact(documents(spark, folder)).select("doc_id")
+
+
+@query(f"WITH r AS ({_QUALITY}) SELECT min(doc_id) AS doc_id FROM documents JOIN r USING (doc_id) WHERE reason = '' AND length({_STRIP}) >= 100 GROUP BY lower({_WS})")
+def corpus_build(spark, folder):
+    return corpus.build_corpus(documents(spark, folder)).select("doc_id")
+
+
+@query("SELECT page_id, substr(sha1(url), 1, 16) AS doc_hash FROM pages")
+def doc_id_hash(spark, folder):
+    return table(spark, folder, "pages").select("page_id", T.hash_id(F.col("url")).alias("doc_hash"))
+
+
+@query(rf"""SELECT doc_id, CAST(len(s) AS INTEGER) AS n, s[1] AS first_sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_STRIP}, '([.!?])\s+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)""")
+def sentence_split(spark, folder):
+    s = T.sentences(F.col("text"))
+    return documents(spark, folder).select("doc_id", F.size(s).alias("n"), F.get(s, F.lit(0)).alias("first_sentence"))
+
+
+def _fixed_sql(size: int, overlap: int, least: int) -> str:
+    step = max(1, size - min(overlap, size - 1))
+    return rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({_STRIP}, '\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT *, CAST(greatest(ceil((len(w) - {size})::DOUBLE / {step}), 0) AS INTEGER) + 1 AS n FROM w WHERE len(w) > 0),
+m AS (SELECT *, n > 1 AND len(w) - (n - 1) * {step} < {least} AS merged FROM n),
+r AS (SELECT *, unnest(range(0, n - merged::INTEGER)) AS i FROM m)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(w[i * {step} + 1:i * {step} + {size}], ' ') || CASE WHEN merged AND i = n - 2 THEN ' ' || array_to_string(w[(i + 1) * {step} + 1:], ' ') ELSE '' END AS text FROM r"""
+
+
+@query(_fixed_sql(250, 50, 20))
+def chunk_fixed(spark, folder):
+    return corpus.fixed_chunks(documents(spark, folder))
+
+
+@query(_fixed_sql(100, 5, 20))
+def chunk_fixed_tail_merge(spark, folder):
+    return corpus.fixed_chunks(documents(spark, folder), 100, 5, 20)
+
+
+_SENTENCE_SQL = r"""WITH RECURSIVE u0 AS (SELECT doc_id, CASE WHEN len(regexp_split_to_array(t, '\s+')) <= 250 THEN [t]
+  ELSE string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)) END us
+  FROM (SELECT doc_id, STRIPPED t FROM documents) WHERE t <> ''),
+u AS (SELECT doc_id, pos, regexp_split_to_array(trim(us[pos]), '\s+') x, len(us) mx FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) pos FROM u0)),
+r AS (SELECT doc_id, pos, mx, x AS cur, CAST(NULL AS VARCHAR[]) flushed FROM u WHERE pos = 1
+  UNION ALL SELECT r.doc_id, u.pos, r.mx, CASE WHEN len(r.cur) + len(u.x) > 250 THEN list_concat(r.cur[-50:], u.x) ELSE list_concat(r.cur, u.x) END,
+    CASE WHEN len(r.cur) + len(u.x) > 250 THEN r.cur END FROM r JOIN u ON u.doc_id = r.doc_id AND u.pos = r.pos + 1),
+c AS (SELECT doc_id, pos, flushed t FROM r WHERE flushed IS NOT NULL UNION ALL SELECT doc_id, mx + 1, cur FROM r WHERE pos = mx),
+k AS (SELECT doc_id, list(array_to_string(t, ' ') ORDER BY pos) l, last(len(t) ORDER BY pos) n FROM c GROUP BY doc_id),
+m AS (SELECT doc_id, CASE WHEN len(l) >= 2 AND n < 20 THEN list_append(l[1:len(l) - 2], l[-2] || ' ' || l[-1]) ELSE l END l FROM k)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) i FROM m)""".replace("STRIPPED", _STRIP)
+
+
+@query(_SENTENCE_SQL)
+def chunk_sentence(spark, folder):
+    return corpus.sentence_chunks(documents(spark, folder))
+
+
+@query(f"WITH {_POST} SELECT term, doc_id, CAST(dl AS INTEGER) AS dl, tf FROM post")
+def bm25_postings(spark, folder):
+    return retrieval.postings(documents(spark, folder))
+
+
+@query(f"WITH {_POST} SELECT term, df, round(idf, 9) AS idf FROM idf")
+def bm25_idf(spark, folder):
+    docs = documents(spark, folder)
+    return retrieval.term_idf(retrieval.postings(docs), docs.count()).withColumn("idf", F.round("idf", 9))
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM {_top('bm', 10)}")
+def bm25_topk(spark, folder):
+    return retrieval.bm25_topk(documents(spark, folder), benchmark_queries(spark, folder))
+
+
+def _dense(spark, folder, k: int) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = vectors.join(table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), "embedding")
+    return retrieval.dense_topk(vectors.join(documents(spark, folder).select("doc_id"), "doc_id", "left_semi"), queries, k)
+
+
+def _lists(spark, folder) -> tuple[DataFrame, DataFrame]:
+    return _dense(spark, folder, 50), retrieval.bm25_topk(documents(spark, folder), benchmark_queries(spark, folder), 50)
+
+
+@query(f"WITH {_DENSE_SQL} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM {_top('dn', 10)}")
+def dense_topk(spark, folder):
+    return _dense(spark, folder, 10)
+
+
+@query(_fused("round(coalesce(1.0::DOUBLE / (60 + dr), 0) + coalesce(1.0::DOUBLE / (60 + sr), 0), 9)", "dr NULLS LAST, sr NULLS LAST,"))
+def fuse_rrf(spark, folder):
+    return retrieval.fuse_rrf(*_lists(spark, folder))
+
+
+@query(_fused("round(coalesce(0.7::DOUBLE / (60 + dr), 0) + coalesce(0.3::DOUBLE / (60 + sr), 0), 9)", "dr NULLS LAST, sr NULLS LAST,"))
+def fuse_weighted_rrf(spark, folder):
+    return retrieval.fuse_rrf(*_lists(spark, folder), dense_weight=0.7, sparse_weight=0.3)
+
+
+@query(_fused(f"round(0.5::DOUBLE * {_scaled('ds')} + 0.5::DOUBLE * {_scaled('ss')}, 6)"))
+def fuse_weighted(spark, folder):
+    return retrieval.fuse_scores(*_lists(spark, folder))
+
+
+@query(_fused(f"round((0.5::DOUBLE * {_scaled('ds')} + 0.5::DOUBLE * {_scaled('ss')}) * ((ds IS NOT NULL)::INTEGER + (ss IS NOT NULL)::INTEGER), 6)"))
+def fuse_combmnz(spark, folder):
+    return retrieval.fuse_scores(*_lists(spark, folder), times_lists=True)
+
+
+_MERGED = f"""WITH {_BM25}, {_DENSE_SQL}, s AS {_top("bm", 20)}, d AS {_top("dn", 20)},
+l AS (SELECT query_id, doc_id, score, rank, 1 AS list_no FROM s UNION ALL SELECT query_id, doc_id, score, rank, 2 FROM d),
+a AS (SELECT query_id, doc_id, max(score) AS best, count(*) AS votes, min(list_no * 1000 + rank) AS first FROM l GROUP BY ALL),
+b AS (SELECT query_id, doc_id, round(best + 0.002::DOUBLE * least(3, votes - 1), 6) AS score, votes, first FROM a),
+mg AS (SELECT query_id, doc_id, score, votes, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INTEGER) AS rank FROM b QUALIFY rank <= 20)"""
+
+
+def _two_lists(spark, folder) -> tuple[DataFrame, DataFrame]:
+    sparse = retrieval.bm25_topk(documents(spark, folder), benchmark_queries(spark, folder), 20)
+    lists = sparse.withColumn("list_no", F.lit(1)).unionByName(_dense(spark, folder, 20).withColumn("list_no", F.lit(2)))
+    return sparse, retrieval.merge_lists(lists, 20)
+
+
+@query(f"{_MERGED} SELECT * FROM mg")
+def merge_multi_query(spark, folder):
+    return _two_lists(spark, folder)[1]
+
+
+@query(f"""{_MERGED}, t AS (SELECT coalesce(s.query_id, mg.query_id) AS query_id, coalesce(s.doc_id, mg.doc_id) AS doc_id, CASE WHEN s.rank <= 3 THEN 0 WHEN mg.rank IS NOT NULL THEN 1 ELSE 2 END AS tier, s.rank AS p, mg.rank AS m
+  FROM s FULL JOIN mg ON s.query_id = mg.query_id AND s.doc_id = mg.doc_id)
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 1 THEN m ELSE p END, doc_id) AS INTEGER) AS rank FROM t QUALIFY rank <= 20""")
+def preserve_primary(spark, folder):
+    return retrieval.preserve_primary(*_two_lists(spark, folder), 3, 20)
+
+
+@query(f"""WITH {_BM25}, s AS {_top("bm", 30)}, g AS (SELECT s.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS o FROM s JOIN documents USING (doc_id))
+SELECT query_id, doc_id, score, source, CAST(rank AS INTEGER) AS old_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o > 1, rank) AS INTEGER) AS rank FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o > 1, rank) <= 10""")
+def diversify_docs(spark, folder):
+    docs = documents(spark, folder)
+    ranked = retrieval.bm25_topk(docs, benchmark_queries(spark, folder), 30).join(docs.select("doc_id", "source"), "doc_id")
+    return retrieval.diversify(ranked, "source", 1, 10)
+
+
+@query(f"""WITH {_BM25}, s AS {_top("bm", 10)}, t AS (SELECT s.query_id, doc_id, rank, text, 5000 - coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM s JOIN documents USING (doc_id))
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, substr(text, 1, CAST(room AS INTEGER)) AS snippet FROM t WHERE room > 0""")
+def context_block(spark, folder):
+    docs = documents(spark, folder)
+    ranked = retrieval.bm25_topk(docs, benchmark_queries(spark, folder)).join(docs.select("doc_id", "text"), "doc_id")
+    return retrieval.context_block(ranked)
+
+
+@query()
+def question_class(spark, folder):
+    return table(spark, folder, "conversations").select("conv_id", "turn", *(c.alias(n) for n, c in Q.classes(F.col("text")).items()))
+
+
+@query()
+def multi_query(spark, folder):
+    return benchmark_queries(spark, folder).select("query_id", F.posexplode(Q.rewrites(F.col("text"))).alias("place", "variant"))
+
+
+@query(r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://[^/?#]*')) || CASE WHEN regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN '/' ELSE regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/$', '') END, '^$', '') AS url FROM pages")
+def url_canonical(spark, folder):
+    return table(spark, folder, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
+
+
+@query("SELECT page_id FROM pages WHERE (lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) = 'example.net' OR ends_with(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '.example.net')) AND NOT contains(url, '?')")
+def url_filter(spark, folder):
+    return table(spark, folder, "pages").where(T.domain_allowed(F.col("url"), ["example.net"]) & ~F.contains("url", F.lit("?"))).select("page_id")
+
+
+@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS place FROM pages)
+SELECT page_id, CAST(place AS INTEGER) AS place, CASE WHEN starts_with(raw, '/') THEN regexp_extract(url, '^[^:/?#]+://[^/?#]*') || raw ELSE raw END AS href FROM l WHERE raw <> '' AND NOT regexp_matches(raw, '^(?i)(mailto|javascript|tel):')""")
+def link_extract(spark, folder):
+    return crawl.links(table(spark, folder, "pages"))
+
+
+@query()
+def crawl_bfs(spark, folder):
+    pages = table(spark, folder, "pages")
+    web = pages.select("page_id", "url").join(crawl.links(pages), "page_id").select("url", "href")
+    return crawl.crawl(web, pages.select("url"), 4)
+
+
+@query("SELECT doc_id, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i <= 5 THEN -100 ELSE length(t[i]) END)::VARCHAR AS labels FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)")
+def train_labels_mask(spark, folder):
+    ids = F.transform(F.split("text", " "), F.length)
+    rows = documents(spark, folder).select("doc_id", ids.alias("ids"), F.lit(5).alias("prompt_len"))
+    return training.mask_prompt(rows).select("doc_id", F.concat(F.lit("["), F.array_join("labels", ", "), F.lit("]")).alias("labels"))
+
+
+@query("""WITH t AS (SELECT doc_id, source, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM documents), m AS (SELECT source, max(len(ids)) AS n FROM t GROUP BY source)
+SELECT doc_id, CAST(n AS INTEGER) AS padded, CAST(len(ids) AS INTEGER) AS used, CAST(list_sum(ids) AS BIGINT) AS total FROM t JOIN m USING (source)""")
+def train_pad_batch(spark, folder):
+    rows = documents(spark, folder).select("doc_id", "source", F.transform(F.split("text", " "), F.length).alias("ids"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return training.pad_batches(rows, "source").select("doc_id", F.size("ids").alias("padded"), add("mask").cast("int").alias("used"), add("ids").alias("total"))
+
+
+@query("SELECT count(*) AS missing FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def index_consistency(spark, folder):
+    return table(spark, folder, "embeddings").join(documents(spark, folder), F.col("vec_id") == F.col("doc_id"), "left_anti").agg(F.count("*").alias("missing"))
