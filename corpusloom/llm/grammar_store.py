@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import new_path
-from .tokens import default_tokenizer, encoder, texts
+from .tokens import default_tokenizer, encoded, encoder
 
 BASE = 1 << 16  # ids lie below
 KIND = "part int, shard int, n_ids bigint, doc_ids array<bigint>, lengths array<int>, places array<int>, rules binary, expanded binary, sequence binary"
@@ -146,8 +146,8 @@ def _write(path: str, shard_tokens: int, rounds: int):
         enc = encoder(path)
         end = b"\0\0\0\0"
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                own = enc.encode(text) + end
+            for doc, raw_ids in encoded(batch, enc):
+                own = raw_ids + end
                 if raw and size + len(own) // 4 > shard_tokens:
                     yield batch_of(shard_row(part, number, ids, raw))
                     number, ids, raw, size = number + 1, [], [], 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import keep
-from .tokens import default_tokenizer, encoder, texts
+from .tokens import default_tokenizer, encoded, encoder
 
 _MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 _BIN = f"sequence_id bigint, size int, members array<{_MEMBER}>"
@@ -41,8 +41,8 @@ def _pieces(path: str, length: int):
         enc, n_full, end = encoder(path), 0, b"\0\0\0\0"
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                raw = enc.encode(text) + end
+            for doc, raw_ids in encoded(batch, enc):
+                raw = raw_ids + end
                 n = len(raw) // 4
                 cuts = [0, *range(n % length or length, n + 1, length)]
                 for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

@@ -4,52 +4,63 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
 
-_RUNS = re.compile(r"\s*\S+|\s+")
-# white space that libraries do not agree on: such texts are encoded in one piece
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+# white space and letters, white space and other signs (with letters after an apostrophe), or white space
+_RUNS = re.compile(rf"\s*[{_LETTER}]+|\s*[^\s{_LETTER}]+(?:(?<=')[{_LETTER}]+)?|\s+")
+# letters beyond Latin-1, and white space that libraries do not agree on: such texts are split at plain white space only, or not
+_WIDE = re.compile("[^\x00-\xa9\xab-\xb4\xb6-\xb9\xbb-\xff]")
+_WORDS = re.compile(r"\s*\S+|\s+")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_WIDE_OR_ODD = re.compile(f"{_WIDE.pattern}|{_ODD.pattern}")
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
     """Ids of a byte-level BPE tokenizer, as little-endian 32-bit bytes.
 
-    The tokenizer splits text into pieces that never go on from a character
-    to white space, so runs of white space and the characters after them are
-    encoded once and kept, `most` of them at a time.
+    The tokenizer splits text into pieces that never go on from a character to
+    white space, nor from a letter to another sign, nor from another sign to a
+    letter but after an apostrophe. The runs between such places are encoded
+    once and kept, about `most` of them at a time.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.known = most, {}
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer, self.known = tokenizer, _Known(tokenizer, most)
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        import numpy as np
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.known.__getitem__, runs(text)))
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._encode([text])[0]
-        runs = _RUNS.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[r] for r in runs])
-        except KeyError:
-            new = list({r for r in runs if r not in known})
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(runs))
-            known.update(zip(new, self._encode(new), strict=True))
-            return b"".join([known[r] for r in runs])
+class _Known(dict):
+    """Ids of runs; a missing one is encoded, and all are forgotten when they are too many."""
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.most = tokenizer, most
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self.tokenizer.encode_batch_fast([run], add_special_tokens=False)[0]
+        self[run] = ids = array("I", found.ids).tobytes()
+        return ids
+
+
+def runs(text: str | None) -> list[str]:
+    if not text:
+        return []
+    if not _WIDE_OR_ODD.search(text):
+        return _RUNS.findall(text)
+    return [text] if _ODD.search(text) else _WORDS.findall(text)
 
 
 def encoder(path: str) -> Encoder:
@@ -66,5 +77,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(column).to_pylist()
+def encoded(batch: pa.RecordBatch, enc: Encoder, key: str = "doc_id", column: str = "text") -> Iterator[tuple[int | None, bytes]]:
+    """Key and ids of each row."""
+    for k, text in zip(batch.column(key), batch.column(column), strict=True):
+        yield k.as_py(), enc.encode(text.as_py())
