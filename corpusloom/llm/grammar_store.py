@@ -164,7 +164,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
     """Write the shards of all documents as a Parquet table, in ascending doc_id order over part and shard."""
     parts = max(1, docs.rdd.getNumPartitions())
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    rows.mapInArrow(_write(tokenizer, shard_tokens, rounds), KIND).write.parquet(path)
+    rows.mapInArrow(_write(tokenizer, shard_tokens, rounds), KIND).write.option("compression", "zstd").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
