@@ -5,18 +5,20 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 # white space and letters, white space and other signs (with letters after an apostrophe), or white space
 _RUNS = re.compile(rf"\s*[{_LETTER}]+|\s*[^\s{_LETTER}]+(?:(?<=')[{_LETTER}]+)?|\s+")
-# letters beyond Latin-1, and white space that libraries do not agree on: such texts are split at plain white space only, or not
-_WIDE = re.compile("[^\x00-\xa9\xab-\xb4\xb6-\xb9\xbb-\xff]")
+# letters that _LETTER lacks, and white space that libraries do not agree on: such texts are split at plain white space only, or not
+_NOT_PLAIN = b"\x1c\x1d\x1e\x1f\x85\xa0\xaa\xb5\xba"
 _WORDS = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_WIDE_OR_ODD = re.compile(f"{_WIDE.pattern}|{_ODD.pattern}")
+#: Runs that are looked up together, runs that are encoded as one text, and characters from which a run is encoded alone.
+GROUP, CHAIN, LONG = 100_000, 10_000, 1_000
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -35,30 +37,64 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer, self.known = tokenizer, _Known(tokenizer, most)
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.__getitem__, runs(text)))
-
-
-class _Known(dict):
-    """Ids of runs; a missing one is encoded, and all are forgotten when they are too many."""
-
-    def __init__(self, tokenizer, most: int):
         self.tokenizer, self.most = tokenizer, most
+        self.known: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # a character stands for a byte
 
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        found = self.tokenizer.encode_batch_fast([run], add_special_tokens=False)[0]
-        self[run] = ids = array("I", found.ids).tobytes()
-        return ids
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text; unknown runs of some texts at a time, GROUP runs or a text more, are encoded together."""
+        held, n = [], 0
+        for text in texts:
+            held.append(runs(text))
+            n += len(held[-1])
+            if n >= GROUP:
+                yield from self._encode_runs(held)
+                held, n = [], 0
+        yield from self._encode_runs(held)
+
+    def _encode_runs(self, held: list[list[str]]) -> Iterator[bytes]:
+        known = self.known
+        found = set().union(*held)
+        new = found.difference(known)
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = found
+        # runs that begin with white space and go on can follow each other in one text
+        chained = [r for r in new if r[0] in " \n" and not r.isspace() and len(r) < LONG]
+        for i in range(0, len(chained), CHAIN):
+            self._learn(chained[i : i + CHAIN])
+        rest = [r for r in new if r not in known]
+        for run, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[run] = array("I", e.ids).tobytes()
+        for own in held:
+            yield b"".join(map(known.__getitem__, own))
+
+    def _learn(self, chain: list[str]) -> None:
+        """Encode runs as one text and cut its ids where the runs end."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.n_bytes[ids])
+        stops = np.cumsum([len(r.encode()) for r in chain])
+        at = np.searchsorted(ends, stops)
+        if len(ends) and ends[-1] == stops[-1] and (ends[at] == stops).all():
+            raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+            self.known.update((r, raw[a:b]) for r, a, b in zip(chain, [0, *cuts[:-1]], cuts, strict=True))
 
 
 def runs(text: str | None) -> list[str]:
     if not text:
         return []
-    if not _WIDE_OR_ODD.search(text):
+    try:
+        raw = text.encode("latin-1")
+        plain = len(raw.translate(None, _NOT_PLAIN)) == len(raw)
+    except UnicodeEncodeError:
+        plain = False
+    if plain:
         return _RUNS.findall(text)
     return [text] if _ODD.search(text) else _WORDS.findall(text)
 
@@ -79,5 +115,6 @@ def default_tokenizer() -> str:
 
 def encoded(batch: pa.RecordBatch, enc: Encoder, key: str = "doc_id", column: str = "text") -> Iterator[tuple[int | None, bytes]]:
     """Key and ids of each row."""
-    for k, text in zip(batch.column(key), batch.column(column), strict=True):
-        yield k.as_py(), enc.encode(text.as_py())
+    texts = (text.as_py() for text in batch.column(column))
+    for k, raw in zip(batch.column(key), enc.encode_all(texts), strict=True):
+        yield k.as_py(), raw
