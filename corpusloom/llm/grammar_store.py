@@ -50,15 +50,19 @@ def compress(seq: np.ndarray, last: np.ndarray, rounds: int = 4, least: int = 16
         slot = ((key * _HASH) >> np.uint64(44)).astype(np.int32)
         often = (np.bincount(slot, minlength=1 << 20) >= least)[slot] & ~last[:-1]
         at = np.flatnonzero(often)
-        pairs, group, count = np.unique(key[at], return_inverse=True, return_counts=True)
-        rank = np.full(len(pairs), -1)
+        there = key[at]
+        ordered = np.sort(there)
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+        pairs, count = ordered[heads], np.diff(np.append(heads, len(ordered)))
         chosen = np.flatnonzero(count >= least)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")][:most_rules]
         if not len(chosen):
             break
-        rank[chosen] = np.arange(len(chosen))
-        use = rank[group] >= 0
-        at, symbol = at[use], rank[group][use]
+        by_key = np.argsort(chosen)
+        wanted = pairs[chosen[by_key]]
+        place = np.minimum(np.searchsorted(wanted, there), len(wanted) - 1)
+        use = wanted[place] == there
+        at, symbol = at[use], by_key[place[use]]
         # of places that overlap in succession take every second one
         first = np.concatenate([[True], np.diff(at) != 1])
         begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
