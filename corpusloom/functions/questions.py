@@ -47,3 +47,16 @@ def rewrites(question: Column, most: int = 2) -> Column:
     listed = F.when(F.size(terms) >= 2, F.array_join(F.slice(terms, 1, 8), " "))
     found = F.filter(F.array(opening, listed), lambda v: v.isNotNull() & (F.lower(v) != low))
     return F.slice(F.filter(found, lambda v, i: (i == 0) | (F.lower(v) != F.lower(F.get(found, F.lit(0))))), 1, most)
+
+
+def augmentations(question: Column, most: int = 2) -> Column:
+    """Other searches for a question, without repetitions: without its opening, its capitalised phrases, its first ten terms if there are two."""
+    q = T.normalize_whitespace(question)
+    stem = F.regexp_replace(F.regexp_replace(q, r"(?i)^(what|when|where|who|which|how many|how much)\s+(is|was|are|were|did|does|do)?\s*", ""), r"^[ ?]+|[ ?]+$", "")
+    phrases = F.regexp_extract_all(q, F.lit(r"\b(?:[A-Z][A-Za-z0-9&.\-']*(?:\s+[A-Z][A-Za-z0-9&.\-']*){0,6})\b"), F.lit(0))
+    phrases = F.filter(phrases, lambda p: ~F.lower(p).isin("what", "when", "where", "who", "which", "how"))
+    terms = T.query_terms(q)
+    listed = F.when(F.size(terms) >= 2, F.array(F.array_join(F.slice(terms, 1, 10), " "))).otherwise(F.array().cast("array<string>"))
+    found = F.filter(F.concat(F.array(stem), phrases, listed), lambda v: (v != "") & (F.lower(v) != F.lower(q)))
+    first = lambda vs: F.filter(vs, lambda v, i: F.array_position(F.transform(vs, F.lower), F.lower(v)) == i + 1)
+    return F.slice(F.get(F.transform(F.array(found), first), F.lit(0)), 1, most)

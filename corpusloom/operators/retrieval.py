@@ -125,3 +125,28 @@ def shape_scores(ranked: DataFrame, terms: str = "terms") -> DataFrame:
     inside = lambda c: F.size(F.filter(terms, lambda t: F.contains(F.lower(c), t)))
     boost = F.least(F.lit(0.12), 0.03 * inside(F.col("source"))) + F.least(F.lit(0.12), 0.015 * inside(F.substring("text", 1, 1200)))
     return ranked.withColumn("score", F.round(F.col("score") + boost, 6))
+
+
+def parent_contexts(ranked: DataFrame, chunks: DataFrame, min_hits: int = 2, window: int = 1, max_chars: int = 2400, most: int = 3) -> DataFrame:
+    """query_id, place, doc_id, first_chunk, last_chunk, text: found chunks of a document and their neighbours as one text.
+
+    ranked: query_id, doc_id, chunk_index, score, rank. Documents of `min_hits`
+    found chunks or more count, the `most` best per query; a longer text is cut at
+    the last space before `max_chars`. A query without such a document keeps its
+    chunks in rank order. Only found chunks and their neighbours are gathered.
+    """
+    parents = ranked.groupBy("query_id", "doc_id").agg(F.max("score").alias("best"), F.count("*").alias("hits"), F.min("rank").alias("seen")).where(F.col("hits") >= min_hits)
+    around = F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)).alias("chunk_index")
+    wanted = ranked.join(parents, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", around).distinct()
+    texts = wanted.join(chunks, ["doc_id", "chunk_index"]).groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
+    whole = T.normalize_whitespace(F.array_join(F.col("c.text"), " "))
+    cut = F.when(F.length(whole) > max_chars, F.regexp_replace(F.substring(whole, 1, max_chars), " [^ ]*$", "")).otherwise(whole)
+    order = Window.partitionBy("query_id").orderBy(F.desc("best"), "seen", "doc_id")
+    merged = (
+        texts.join(parents, ["query_id", "doc_id"])
+        .select("query_id", F.row_number().over(order).alias("place"), "doc_id", F.array_min("c.chunk_index").alias("first_chunk"), F.array_max("c.chunk_index").alias("last_chunk"), cut.alias("text"))
+        .where(F.col("place") <= most)
+    )
+    children = ranked.join(merged.select("query_id").distinct(), "query_id", "left_anti").join(chunks, ["doc_id", "chunk_index"])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("place")
+    return merged.unionByName(children.select("query_id", place, "doc_id", F.col("chunk_index").alias("first_chunk"), F.col("chunk_index").alias("last_chunk"), "text"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import answers as A
 from ..functions import questions as Q
 from ..functions import text as T
 from ..operators import corpus, retrieval, training
@@ -262,6 +263,28 @@ def question_class(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", *(c.alias(n) for n, c in Q.classes(F.col("text")).items()))
 
 
+@query()
+def answer_postprocess(spark, folder):
+    """Each turn as the answer to the turn before it."""
+    asked = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = table(spark, folder, "conversations").withColumn("question", asked)
+    return turns.select("conv_id", "turn", A.postprocess(F.col("text"), F.col("question")).alias("answer"))
+
+
+@query()
+def retrieval_augmentation(spark, folder):
+    return benchmark_queries(spark, folder).select("query_id", F.posexplode(Q.augmentations(F.col("text"))).alias("place", "variant"))
+
+
+@query()
+def parent_merge(spark, folder):
+    chunks = corpus.fixed_chunks(documents(spark, folder))
+    numbered = chunks.select(F.concat_ws(":", "doc_id", "chunk_index").alias("doc_id"), "text")
+    found = retrieval.bm25_topk(numbered, benchmark_queries(spark, folder)).withColumn("at", F.split("doc_id", ":"))
+    ranked = found.select("query_id", F.col("at")[0].cast("long").alias("doc_id"), F.col("at")[1].cast("int").alias("chunk_index"), "score", "rank")
+    return retrieval.parent_contexts(ranked, chunks)
+
+
 @query()
 def multi_query(spark, folder):
     return benchmark_queries(spark, folder).select("query_id", F.posexplode(Q.rewrites(F.col("text"))).alias("place", "variant"))
