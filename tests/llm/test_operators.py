@@ -228,6 +228,42 @@ def test_passages(spark):
     assert left[1] == " ".join(texts[1]) and left[4] == " ".join(texts[4]) and left[2] == " ".join(texts[2][:100]).upper() and len(left[3].split()) < 225
 
 
+def test_passages_of_one_chain(spark):
+    """Passages with other words between them, and passages moved into the gap of a chain."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 50_000, n)]
+    p, q, r = word(120), word(100), word(100)
+    a = p + word(60) + q + word(120) + r
+    c = p[:60] + word(60) + p[60:]
+    d = word(30) + q + word(120) + r
+    m = word(5) + q + p[:60] + r  # the middle one stands before both in 1
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(c)), (3, " ".join(d)), (4, " ".join(m))], "doc_id bigint, text string")
+    got = {(x.doc_id, x.start_word, x.end_word, x.other_start_word, x.other_end_word) for x in passages.repeated_passages(docs).where("other_id = 1").collect()}
+    assert got == {(2, 0, 60, 0, 60), (2, 120, 180, 60, 120), (3, 30, 130, 180, 280), (3, 250, 350, 400, 500), (4, 5, 105, 180, 280), (4, 105, 165, 0, 60), (4, 165, 265, 400, 500)}
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        a, b = rng.integers(0, 9, (2, rng.integers(1, 40)))
+        pairs, table = passages._common(a, b), passages._table(a, b)
+        assert len(pairs) == table[-1, -1] == len(passages._common(a, b, 8)) and all(a[i] == b[j] for i, j in pairs)
+        runs, x, y = [], 0, 0
+        for _ in range(rng.integers(1, 12)):
+            n = int(rng.integers(1, 12))
+            runs.append((x, y, n))
+            x, y = x + n + int(rng.integers(0, 6)), y + n + int(rng.integers(0, 6))
+        wanted = set()
+        for i, (s, t, _) in enumerate(runs):
+            for j in range(i, len(runs)):
+                e, u = runs[j][0] + runs[j][2], runs[j][1] + runs[j][2]
+                if e - s >= 20 and sum(n for *_, n in runs[i : j + 1]) >= 0.8 * max(e - s, u - t):
+                    wanted.update(range(s, e))
+        got = passages.stretches(runs, 20, 0.8)
+        assert {w for s, e, *_ in got for w in range(s, e)} == wanted
+        assert all(m >= 0.8 * max(e - s, u - t) and e - s >= 20 for s, e, t, u, m in got)
+
+
 def test_chain_is_best():
     found = passages.chain([(0, 0, 8), (10, 12, 8), (20, 5, 8), (30, 40, 8)], 0.25, 8)
     assert found[0] == [(0, 0, 8), (10, 12, 8)] or found[0] == [(0, 0, 8), (10, 12, 8), (30, 40, 8)]
