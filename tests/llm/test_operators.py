@@ -242,6 +242,34 @@ def test_passages_of_one_chain(spark):
     assert got == {(2, 0, 60, 0, 60), (2, 120, 180, 60, 120), (3, 30, 130, 180, 280), (3, 250, 350, 400, 500), (4, 5, 105, 180, 280), (4, 105, 165, 0, 60), (4, 165, 265, 400, 500)}
 
 
+def exact_passages(texts, n):
+    """Word places of runs of n words that a document of a smaller id holds too."""
+    out = {}
+    for i, w in texts.items():
+        before = {tuple(v[j : j + n]) for o, v in texts.items() if o < i for j in range(len(v) - n + 1)}
+        out[i] = {p for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in before for p in range(j, j + n)}
+    return out
+
+
+def test_passages_of_common_sentences(spark):
+    """Smaller documents hold each sentence of a passage singly, only a later one all of it."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 50_000, n)]
+    texts, sentences = {}, [word(28) for _ in range(40)]
+    for i, s in enumerate(sentences):
+        texts[i] = word(60) + s + word(60)
+    for i in range(40):  # pairs of sentences that follow each other in two documents
+        both = sentences[i] + sentences[(i * 7 + 1) % 40]
+        texts[100 + i], texts[200 + i] = word(70) + both + word(30), both + word(70)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    got = {i: set() for i in texts}
+    for r in passages.repeated_passages(docs).collect():
+        assert r.other_id < r.doc_id and r.end_word - r.start_word >= 50
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    wanted = exact_passages(texts, 50)
+    assert sum(map(len, wanted.values())) >= 40 * 56 and all(wanted[i] <= got[i] for i in texts)
+
+
 def test_stretches_against_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(300):
