@@ -270,6 +270,42 @@ def test_passages_of_common_sentences(spark):
     assert sum(map(len, wanted.values())) >= 40 * 56 and all(wanted[i] <= got[i] for i in texts)
 
 
+def test_passages_of_periodic_text(spark):
+    """A short line said often, with and without a smaller document that says it less often; seeds on one side of a long passage only."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 50_000, n)]
+    line, long = word(6), word(1500)
+    texts = {1: word(40) + line * 50, 2: line * 50 + word(80), 3: word(30) + line * 12 + word(30), 4: word(30) + ["one"] * 5000, 5: ["one"] * 70 + word(20), 6: word(3) + ["one"] * 900 + word(9)}
+    texts[0] = line * 5 + word(30)
+    texts.update({10 + i: word(50) + long[40 * i : 40 * i + 40] + word(50) for i in range(1, 37)})  # smaller holders of most of its seeds
+    texts[90], texts[91] = word(20) + long, long + word(20)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    got = {i: set() for i in texts}
+    for r in passages.repeated_passages(docs).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    wanted = exact_passages(texts, 50)
+    assert len(wanted[2]) >= 300 and len(wanted[6]) == 900 and len(wanted[91]) == 1500
+    assert all(wanted[i] <= got[i] for i in texts)
+
+
+def test_chain_goes_on_to_its_end(spark):
+    """The chain's extension is followed past the first slices: words differ so often that no other seeds join in."""
+    a = np.arange(3000, dtype=np.uint32)
+    b = a.copy()
+    b[400::9] += 100_000
+    row = {"doc_id": 2, "other_id": 1, "first": 380, "anchors": [380, 380, 19], "low": 380 - 128, "other_low": 380 - 128, "n": 3000, "other_n": 3000, "a": b[252:527].tobytes(), "b": a[252:527].tobytes()}
+    import pyarrow as pa
+
+    align = lambda r: next(passages._align(50, 0.8)(iter([pa.RecordBatch.from_pylist([r])]))).to_pylist()
+    assert [r["open"] for r in align(row)] == [True]
+    found = align({**row, "low": 0, "other_low": 0, "a": b.tobytes(), "b": a.tobytes()})
+    assert [(r["start_word"], r["end_word"], r["open"]) for r in found] == [(0, 2992, False)]  # seven equal words are left
+    words = [f"w{x}" for x in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(w if i < 400 or i % 9 else f"c{i}" for i, w in enumerate(words)))], "doc_id bigint, text string")
+    got = passages.repeated_passages(docs).collect()
+    assert [(r.start_word, r.end_word) for r in got] == [(0, 2997)]
+
+
 def test_stretches_against_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(300):
