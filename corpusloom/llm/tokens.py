@@ -28,7 +28,8 @@ class Encoder:
     The tokenizer splits text into pieces that never go on from a character to
     white space, nor from a letter to another sign, nor from another sign to a
     letter but after an apostrophe. The runs between such places are encoded
-    once and kept, about `most` of them at a time.
+    once and kept, about `most` of them at a time. An added token's string is one
+    id, as by the library's default; texts that hold one are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -36,9 +37,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer, self.most = tokenizer, most
         self.known: dict[str, bytes] = {}
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
         for token, i in vocabulary.items():
@@ -51,7 +53,7 @@ class Encoder:
         """Ids of each text; unknown runs of some texts at a time, GROUP runs or a text more, are encoded together."""
         held, n = [], 0
         for text in texts:
-            held.append(runs(text))
+            held.append([text] if text and self.added and self.added.search(text) else runs(text))
             n += len(held[-1])
             if n >= GROUP:
                 yield from self._encode_runs(held)
@@ -66,7 +68,7 @@ class Encoder:
             known.clear()
             new = found
         # runs that begin with white space and go on can follow each other in one text
-        chained = [r for r in new if r[0] in " \n" and not r.isspace() and len(r) < LONG]
+        chained = [r for r in new if r[0] in " \n" and not r.isspace() and len(r) < LONG and not (self.added and self.added.search(r))]
         for i in range(0, len(chained), CHAIN):
             self._learn(chained[i : i + CHAIN])
         rest = [r for r in new if r not in known]

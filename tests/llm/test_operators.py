@@ -189,6 +189,20 @@ def test_token_files_and_packing(spark, docs):
     assert sum(n for s in used.values() for _, n in s) == total and len(used) <= 1.02 * total / 2048 + 2
 
 
+def test_added_tokens_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["<|endoftext|>", "before <|endoftext|> after", " a\n<|endoftext|>b c", "x<|endoftext|><|endoftext|>", " <|endoftext|", "plain words", None, "", "d\xe9j\xe0 <|endoftext|> vu \u2014 it's"]
+    plain = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert plain[0] == [tok.token_to_id("<|endoftext|>")]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in tokens.Encoder(tokens.default_tokenizer()).encode_all(texts)] == plain
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    wanted = {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(plain)}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in grammar_store.stored_documents(docs).collect()} == wanted
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs).collect()} == wanted
+
+
 def test_compress_and_expand():
     rng = np.random.default_rng(4)
     for _ in range(30):
