@@ -310,7 +310,8 @@ def link_extract(spark, folder):
 def crawl_bfs(spark, folder):
     pages = table(spark, folder, "pages")
     web = pages.select("page_id", "url").join(crawl.links(pages), "page_id").select("url", "href")
-    return crawl.crawl(web, pages.select("url"), 4)
+    starts = pages.groupBy(T.host(F.col("url"))).agg(F.min("url").alias("url"))  # one page of each host
+    return crawl.crawl(pages, web, starts, 4)
 
 
 @query("SELECT doc_id, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i <= 5 THEN -100 ELSE length(t[i]) END)::VARCHAR AS labels FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)")

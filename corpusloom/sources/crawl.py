@@ -18,16 +18,16 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "place", F.when(F.startswith("raw", F.lit("/")), F.concat(root, "raw")).otherwise(F.col("raw")).alias("href"))
 
 
-def crawl(web: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
-    """url, depth of all pages that links reach from the seeds in at most max_depth steps.
+def crawl(pages: DataFrame, web: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
+    """url, depth of all pages, with links or not, that links reach from the seeds in at most max_depth steps.
 
-    web: url, href. One job for each level; the frontier is checkpointed and joined with what was visited.
+    pages: url; web: url, href. One job for each level; the frontier is checkpointed and joined with what was visited.
     """
     spark = web.sparkSession
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-crawl-"))
     known = web.select(T.canonical_url(F.col("url")).alias("url"), T.canonical_url(F.col("href")).alias("href")).distinct()
-    pages = known.select("url").distinct()
+    pages = pages.select(T.canonical_url(F.col("url")).alias("url")).distinct()
     frontier = seeds.select(T.canonical_url(F.col("url")).alias("url")).distinct().join(pages, "url", "left_semi").withColumn("depth", F.lit(0)).checkpoint()
     visited = frontier
     for depth in range(1, max_depth + 1):
