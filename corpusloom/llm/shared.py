@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in tests, a new one."""
+    """The cluster's spark.checkpoint.dir; where it is unset on one machine, as in tests, a new one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folder()
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -47,19 +49,25 @@ def discard(frame: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-MAP_BITS = 22
+#: Ids that are marked in a broadcast bit map at most; eight bits for each, so 4 MB of bits in 2**19 rows of two numbers.
+MOST_MARKED = 1 << 22
 
 
-def only_marked(frame: DataFrame, key: str, ids: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+def only_marked(frame: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of frame whose key may be among `ids` (one column), and all that are.
 
-    The ids are marked in a bit map of 2**bits bits, at most 2**(bits - 6) rows
-    of two numbers (1 MB at 22), so it is broadcast at any size of `ids`. An
-    exact join follows where exactness matters.
+    Up to MOST_MARKED ids are marked in a bit map, whose size is so bounded, and
+    the rows are not shuffled; an exact join follows where exactness matters. More
+    ids are joined themselves.
     """
+    column = ids.columns[0]
+    n = ids.agg(F.approx_count_distinct(column)).first()[0]
+    if n > MOST_MARKED:
+        return frame.join(ids.select(F.col(column).alias(key)).distinct(), key, "left_semi").select(*frame.columns)
+    bits = max(12, (8 * n - 1).bit_length())
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     marks = (
-        ids.select(slot(F.col(ids.columns[0])).alias("_slot"))
+        ids.select(slot(F.col(column)).alias("_slot"))
         .groupBy(F.shiftright("_slot", 6).alias("_word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 as int)))").alias("_bits"))
     )

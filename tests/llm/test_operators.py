@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and repeated rows."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -119,9 +120,52 @@ def test_prefix_keys_lose_no_link():
             if 100 * shared < 80 * (len(x) + len(y) - shared):
                 continue
             assert jaccard_join.least_difference(jaccard_join.odd_sketch(x), jaccard_join.odd_sketch(y)) <= len(x) + len(y) - 2 * shared
-            for cut in (0, 2, 3, 9):  # all, most, half, no tokens frequent
-                keys = [set(jaccard_join.prefix_keys(z, np.array([0, len(z)]), (z % np.uint64(7)).astype(np.uint8), cut)[0].tolist()) for z in (x, y)]
-                assert keys[0] & keys[1], (n, cut)
+            for often in (0, 2, 4, 7):  # none, some, most, all tokens frequent
+                keys = [document_keys(z, often) for z in (x, y)]
+                assert keys[0] & keys[1], (n, often)
+
+
+def document_keys(z, often):
+    token, _, place = jaccard_join.prefix_entries(z, np.array([0, len(z)]), (z % np.uint64(7)).astype(np.uint8))
+    frequent = (token >> np.uint64(20)) % np.uint64(7) < often
+    basic = place <= len(z) // 5
+    if not (frequent & basic).any():
+        return set(token[basic].tolist())
+    return set(token[~frequent].tolist()) | set(jaccard_join.combination_keys(token[frequent], place[frequent], len(z)).tolist())
+
+
+@pytest.mark.parametrize("frequent", [256, 16])
+def test_jaccard_join_of_large_groups(spark, frequent):
+    """Large groups of copies and of near copies, and a passage that most documents share."""
+    rng = random.Random(7)
+    words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    common, base, other = words(60), words(150), words(150)
+    texts = [" ".join(base)] * 300
+    for k in range(300):
+        near = list(base if k % 2 else other)
+        near[rng.randrange(len(near))] = f"x{k}"
+        texts.append(" ".join(near))
+    texts += [" ".join(words(20) + common + words(rng.randrange(1, 40))) for _ in range(400)]
+    rng.shuffle(texts)
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(frame, frequent=frequent).collect()}
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if find(i) != find(j) and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= 80 * (len(x) + len(y) - both):
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+    assert got == {i: (len(x), find(i)) for i, x in sets}
 
 
 def test_decontamination(spark, docs):
