@@ -53,17 +53,18 @@ def discard(frame: DataFrame) -> None:
 MOST_MARKED = 1 << 22
 
 
-def only_marked(frame: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of frame whose key may be among `ids` (one column), and all that are.
+def with_mark(frame: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFrame:
+    """Adds whether a row's key may be among `ids` (one column); it is true for all that are.
 
     Up to MOST_MARKED ids are marked in a bit map, whose size is so bounded, and
     the rows are not shuffled; an exact join follows where exactness matters. More
-    ids are joined themselves.
+    ids are joined themselves. A null key has no mark.
     """
     column = ids.columns[0]
     n = ids.agg(F.approx_count_distinct(column)).first()[0]
     if n > MOST_MARKED:
-        return frame.join(ids.select(F.col(column).alias(key)).distinct(), key, "left_semi").select(*frame.columns)
+        own = ids.select(F.col(column).alias(key), F.lit(True).alias(mark)).distinct()
+        return frame.join(own, key, "left").select(*frame.columns, F.coalesce(mark, F.lit(False)).alias(mark))
     bits = max(12, (8 * n - 1).bit_length())
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     marks = (
@@ -71,10 +72,10 @@ def only_marked(frame: DataFrame, key: str, ids: DataFrame) -> DataFrame:
         .groupBy(F.shiftright("_slot", 6).alias("_word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 as int)))").alias("_bits"))
     )
-    return (
-        frame.withColumn("_slot", slot(F.col(key)))
-        .withColumn("_word", F.shiftright("_slot", 6))
-        .join(F.broadcast(marks), "_word")
-        .where("(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1) = 1")
-        .drop("_slot", "_word", "_bits")
-    )
+    hit = F.expr("coalesce((shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1) = 1, false)") & F.col(key).isNotNull()
+    return frame.withColumn("_slot", slot(F.col(key))).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(marks), "_word", "left").withColumn(mark, hit).drop("_slot", "_word", "_bits")
+
+
+def only_marked(frame: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of frame whose key may be among `ids`, and all that are."""
+    return with_mark(frame, key, ids, "_mark").where("_mark").drop("_mark")

@@ -262,6 +262,7 @@ def test_compress_and_expand():
 
 def test_warc(spark):
     rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, "http://a/3", "same"), (4, "u", None), (5, None, ""), (None, "x", "WARC/1.1\r\n\r\n"), (6, "x\r\ny", "a\r\n\r\nWARC/1.1\r\n"), (7, "é", "é" * 3000), (3, "http://a/3", "same")]
+    rows += [(8, "u", "\r\n\r\nWARC/1.1\r\n" * 3), (9, "u", "\r\n\r\n\r\n\r\nWARC/1.1\r\n\r\n"), (10, "u", "\r\n\r\n"), (11, "u", "x" * 3_000_000 + "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"), (12, "u", "\r\n" * 40_000)]
     got = warc.archived_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     last = {"same": 3, "": 5}
     expected = []
