@@ -38,12 +38,11 @@ def _sequence_ids(turn: int, n: int, first: int = 0) -> np.ndarray:
 
 def _pieces(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, n_full, end = encoder(path), 0, b"\0\0\0\0"
+        enc, n_full = encoder(path), 0
         for batch in batches:
             out: list[tuple] = []
-            for doc, raw_ids in encoded(batch, enc):
-                raw = raw_ids + end
-                n = len(raw) // 4
+            for doc, found in encoded(batch, enc):
+                raw, n = found.astype("<u4").tobytes(), len(found)
                 cuts = [0, *range(n % length or length, n + 1, length)]
                 for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     out.append((doc, piece, a, b - a, zlib.crc32(raw[4 * a : 4 * b])))

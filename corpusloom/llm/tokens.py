@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,21 @@ GROUP, CHAIN, LONG = 100_000, 10_000, 1_000
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
+class _Codes(dict):
+    """Numbers of runs, in the order of their first look-up; `new` holds those that got one since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        code = self[run] = len(self) + 1
+        self.new.append(run)
+        return code
+
+
 class Encoder:
-    """Ids of a byte-level BPE tokenizer, as little-endian 32-bit bytes.
+    """Ids of a byte-level BPE tokenizer, with id 0 at the end of each text.
 
     The tokenizer splits text into pieces that never go on from a character to
     white space, nor from a letter to another sign, nor from another sign to a
@@ -38,19 +51,27 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.tokenizer, self.most = tokenizer, most
-        self.known: dict[str, bytes] = {}
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        self.n_bytes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+        self.n_ids = tokenizer.get_vocab_size()
+        self.n_bytes = np.zeros(self.n_ids + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a character stands for a byte
+        self._forget()
+
+    def _forget(self) -> None:
+        """No runs; number 0 is the end of a text."""
+        self.codes = _Codes()
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
 
-    def encode(self, text: str | None) -> bytes:
-        return next(self.encode_all([text]))
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids without the end."""
+        return next(self.encode_all([text]))[:-1]
 
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text; unknown runs of some texts at a time, GROUP runs or a text more, are encoded together."""
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, with 0 at the end; unknown runs of some texts at a time, GROUP runs or a text more, are encoded together."""
         held, n = [], 0
         for text in texts:
             held.append([text] if text and self.added and self.added.search(text) else runs(text))
@@ -60,32 +81,65 @@ class Encoder:
                 held, n = [], 0
         yield from self._encode_runs(held)
 
-    def _encode_runs(self, held: list[list[str]]) -> Iterator[bytes]:
-        known = self.known
-        found = set().union(*held)
-        new = found.difference(known)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = found
+    def _encode_runs(self, held: list[list[str]]) -> Iterator[np.ndarray]:
+        if len(self.codes) > self.most:
+            self._forget()
+        number = self.codes.__getitem__
+        counts = np.array([len(own) for own in held], np.int64)
+        last = np.cumsum(counts + 1) - 1
+        codes = np.zeros(int(counts.sum()) + len(held), np.int64)
+        within = np.ones(len(codes), bool)
+        within[last] = False
+        codes[within] = np.fromiter(map(number, chain.from_iterable(held)), np.int64, int(counts.sum()))
+        self._learn()
+        size = self.size[codes]
+        stop = np.cumsum(size)
+        ids = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.start[codes] - stop + size, size)]
+        ends = stop[last]
+        yield from (ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False))
+
+    def _learn(self) -> None:
+        """Encode the new runs."""
+        new = self.codes.new
+        if not new:
+            return
+        first = len(self.codes) - len(new) + 1
         # runs that begin with white space and go on can follow each other in one text
-        chained = [r for r in new if r[0] in " \n" and not r.isspace() and len(r) < LONG and not (self.added and self.added.search(r))]
-        for i in range(0, len(chained), CHAIN):
-            self._learn(chained[i : i + CHAIN])
-        rest = [r for r in new if r not in known]
-        for run, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[run] = array("I", e.ids).tobytes()
-        for own in held:
-            yield b"".join(map(known.__getitem__, own))
-
-    def _learn(self, chain: list[str]) -> None:
-        """Encode runs as one text and cut its ids where the runs end."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chain)], add_special_tokens=False)[0].ids, "<u4")
+        together, alone = [], []
+        for i, r in enumerate(new):
+            (together if r[0] in " \n" and len(r) < LONG and not r.isspace() and not (self.added and self.added.search(r)) else alone).append(i)
+        for i in range(0, len(together), CHAIN):
+            own = together[i : i + CHAIN]
+            found = self._cut([new[j] for j in own])
+            if found is None:
+                alone += own
+            else:
+                self._store(np.array(own) + first, *found)
+        for i in range(0, len(alone), CHAIN):
+            own = alone[i : i + CHAIN]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([new[j] for j in own], add_special_tokens=False)]
+            self._store(np.array(own) + first, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
+        self.codes.new = []
+
+    def _cut(self, some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of runs encoded as one text, and how many each has; None if they don't end where ids do."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum(self.n_bytes[ids])
-        stops = np.cumsum([len(r.encode()) for r in chain])
+        stops = np.cumsum([len(r.encode()) for r in some])
         at = np.searchsorted(ends, stops)
         if len(ends) and ends[-1] == stops[-1] and (ends[at] == stops).all():
-            raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
-            self.known.update((r, raw[a:b]) for r, a, b in zip(chain, [0, *cuts[:-1]], cuts, strict=True))
+            return ids, np.diff(at, prepend=-1)
+        return None
+
+    def _store(self, codes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        most = int(codes.max()) + 1
+        if most > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(max(most, len(x)), np.int64)]) for x in (self.start, self.size))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[codes], self.size[codes] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
 
 
 def runs(text: str | None) -> list[str]:
@@ -115,8 +169,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoded(batch: pa.RecordBatch, enc: Encoder, key: str = "doc_id", column: str = "text") -> Iterator[tuple[int | None, bytes]]:
-    """Key and ids of each row."""
+def encoded(batch: pa.RecordBatch, enc: Encoder, key: str = "doc_id", column: str = "text") -> Iterator[tuple[int | None, np.ndarray]]:
+    """Key and ids, with 0 at the end, of each row."""
     texts = (text.as_py() for text in batch.column(column))
-    for k, raw in zip(batch.column(key), enc.encode_all(texts), strict=True):
-        yield k.as_py(), raw
+    for k, ids in zip(batch.column(key), enc.encode_all(texts), strict=True):
+        yield k.as_py(), ids

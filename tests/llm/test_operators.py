@@ -3,12 +3,12 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import decontaminate, grammar_store, jaccard_join, main_text, packing, passages, quality, tokens, toxicity, vantage, warc
+from corpusloom.llm import decontaminate, grammar_store, jaccard_join, main_text, packing, passages, quality, shared, tokens, toxicity, vantage, warc
 from corpusloom.llm.components import connected_components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -240,13 +240,44 @@ def test_added_tokens_are_one_id(spark):
     texts = ["<|endoftext|>", "before <|endoftext|> after", " a\n<|endoftext|>b c", "x<|endoftext|><|endoftext|>", " <|endoftext|", "plain words", None, "", "d\xe9j\xe0 <|endoftext|> vu \u2014 it's"]
     plain = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert plain[0] == [tok.token_to_id("<|endoftext|>")]
-    assert [np.frombuffer(raw, "<u4").tolist() for raw in tokens.Encoder(tokens.default_tokenizer()).encode_all(texts)] == plain
+    assert [ids.tolist() for ids in tokens.Encoder(tokens.default_tokenizer()).encode_all(texts)] == [[*x, 0] for x in plain]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     wanted = {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(plain)}
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in grammar_store.stored_documents(docs).collect()} == wanted
     assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs).collect()} == wanted
 
 
+def test_encoder_on_odd_strings():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.default_tokenizer())
+    rng = random.Random(3)
+    signs = [*"aZé9 '\n\t.-<|>ßµªº", "  ", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "漢", "字", "'s", "'ll", " it", "\r\n", "🙂", "e\u0301", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(4000)] + ["a" * 3000, " b" * 3000, "\n" * 500]
+    few = tokens.Encoder(tokens.default_tokenizer(), most=500)  # forgets its runs again and again
+    wanted = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [x.tolist() for part in range(0, len(texts), 100) for x in few.encode_all(texts[part : part + 100])] == wanted
+
+
+def test_random_access(spark, docs):
+    """Any range of any stored document, decoded alone."""
+    path = shared.new_path(spark, "shards")
+    grammar_store.write_shards(docs, path, tokens.default_tokenizer(), shard_tokens=30_000)
+    enc, rng, texts = tokens.Encoder(tokens.default_tokenizer()), random.Random(1), defaultdict(set)
+    for r in docs.select("doc_id", "text").collect():
+        texts[r.doc_id].add((*enc.encode(r.text).tolist(), 0))
+    some_rules = False
+    for shard in spark.read.parquet(path).collect():
+        some_rules |= len(shard["rules"]) > 0
+        for k, doc in enumerate(shard["doc_ids"]):
+            n = shard["lengths"][k]
+            a = rng.randrange(n)
+            b = rng.randrange(a, n) + 1
+            whole = tuple(grammar_store.decode_document(shard, k).tolist())
+            assert whole in texts[doc] and tuple(grammar_store.decode_document(shard, k, a, b - a).tolist()) == whole[a:b]
+    assert some_rules
+
+
 def test_compress_and_expand():
     rng = np.random.default_rng(4)
     for _ in range(30):
@@ -254,7 +285,9 @@ def test_compress_and_expand():
         last = rng.random(len(seq)) < 0.02
         last[-1] = True
         out, rules, ends = grammar_store.compress(seq, last.copy(), least=4)
-        assert (grammar_store.expand(out, rules) == seq).all()
+        assert (grammar_store.expand(out, rules) == seq).all() and (grammar_store.unpack_symbols(grammar_store.pack_symbols(out)) == out).all()
+        pairs = Counter(p for p, e in zip(zip(out[:-1].tolist(), out[1:].tolist()), ends) if not e)
+        assert not pairs or max(pairs.values()) < 4  # no frequent pair is left
         lengths = grammar_store.expansion_lengths(rules)
         size = np.where(out >= grammar_store.BASE, lengths[np.maximum(out.astype(int) - grammar_store.BASE, 0)] if len(rules) else 1, 1)
         assert (np.flatnonzero(last) == np.cumsum(size)[ends] - 1).all()
