@@ -185,9 +185,12 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
     """Documents without the passages found; those of which no word is left go.
 
     A passage goes from the first byte of its first word to the last byte of its
-    last; documents without hits are returned as they are.
+    last; documents without hits are returned as they are, null and empty ones too.
+    Repeated rows are each treated. Any other columns may be there; n_chars is counted
+    again where a passage went.
     """
-    found = find_phrases(docs, benchmark, width=width)
+    others = [c for c in docs.columns if c != "text"]
+    found = find_phrases(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")), benchmark, width=width)
     cut = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at")),
@@ -196,11 +199,11 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
     )
     hit = F.size("spans") > 0
     left = F.col("n_words") > F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    text = F.when(hit, F.trim(cut)).otherwise(F.col("text"))
-    kept = found.where(~hit | left).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    kept = found.where(~hit | left).select("row", hit.alias("hit"), F.when(hit, F.trim(cut)).otherwise(F.col("text")).alias("text"))
+    columns = {c: F.col("row").getField(c) for c in others} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def _bytes(start, end):

@@ -345,10 +345,13 @@ def extract_all(sources: list[str | None], model: BoostedTrees | None) -> list[s
 def train(pages: DataFrame, most: int = 300, most_chars: int = 200_000) -> BoostedTrees | None:
     """Trees learnt from at most `most` pages, those of the smallest hash that hold an article or main element.
 
-    Pages beyond most_chars characters aren't learnt from, which bounds what the driver holds.
+    Pages beyond most_chars characters aren't learnt from, which bounds what the driver
+    holds. Hashes alone are ordered; the chosen pages are fetched afterwards, one for each hash.
     """
     able = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= most_chars)).select("html", F.xxhash64("html").alias("h"))
-    sample = [r[0] for r in able.orderBy("h").limit(most).collect()]
+    chosen = able.select("h").distinct().orderBy("h").limit(most)
+    found = able.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("html").alias("html")).collect()
+    sample = [r.html for r in sorted(found, key=lambda r: r.h)]
     rows = [_training_rows(page, sample[k - 1], k) for k, page in enumerate(sample)]
     if not rows:
         return None

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import blocks, find_words, hash_spans, mix, text_bytes
+from .shared import free_name
 from .sums import KIND, array_sums, labelled_sample, remainder, total
 
 BITS, DIM, REACH, SHAPES = 15, 32, 2, 128
@@ -161,17 +162,17 @@ def _features(vectors):
         for whole in batches:
             for batch in blocks(whole, "text"):
                 x = _pooled(batch, vectors.value)
-                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     return run
 
 
-def _score(vectors, network):
+def _score(vectors, network, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole, "text"):
                 p = network.value.probability(_pooled(batch, vectors.value)) if network.value else np.full(batch.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(p)], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(p)], names=[*batch.schema.names, column])
 
     return run
 
@@ -182,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: i
     sums = total(docs.select("text").mapInArrow(array_sums(_contexts), KIND), ROWS * DIM)
     vectors = spark.sparkContext.broadcast(word_vectors(sums))
     sample = F.broadcast(labelled_sample(labels, label, divisor, held, most))
-    got = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label").mapInArrow(_features(vectors), "label int, x binary").collect()
+    found = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(_features(vectors), "doc_id bigint, label int, x binary")
+    # one row of each sampled id, however often it is repeated
+    got = found.groupBy("doc_id").agg(F.first("label"), F.min("x")).select("first(label)", "min(x)").collect()
     network = None
     if got:
         x, y = np.array([np.frombuffer(r[1], np.float32) for r in got], np.float64), np.array([r[0] for r in got], float)
@@ -192,12 +195,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: i
     return vectors, spark.sparkContext.broadcast(network)
 
 
-def scored(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """docs and `score`, the probability of label 1."""
+def scored(docs: DataFrame, labels: DataFrame, column: str = "score", **parameters) -> DataFrame:
+    """docs and `column`, the probability of label 1; docs may not have such a column."""
+    if column in docs.columns:
+        raise ValueError(f"there is a column {column} already")
     vectors, network = train(docs, labels, **parameters)
-    docs = docs.drop("score")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(vectors, network), f"{kind}, score double")
+    return docs.mapInArrow(_score(vectors, network, column), f"{kind}, `{column}` double")
 
 
 def score(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
@@ -208,5 +212,9 @@ def score(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **parameters) -> DataFrame:
-    """Documents whose score reaches the threshold."""
-    return scored(docs, labels, **parameters).where(F.col("score") >= threshold).select(*docs.columns)
+    """Rows whose score reaches the threshold, as they are; any columns may be there beside doc_id and text.
+
+    Null and empty texts are scored as texts without tokens; an empty labels table rejects nothing at 0.5.
+    """
+    own = free_name("score", docs.columns)
+    return scored(docs, labels, own, **parameters).where(F.col(own) >= threshold).select(*docs.columns)

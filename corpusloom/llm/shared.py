@@ -29,6 +29,14 @@ def _own_folder() -> str:
     return _own[0]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it while a column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -175,7 +175,7 @@ def _fold_features(model):
                 for i, f in enumerate(batch.column("fold").to_pylist()):
                     a, b = first[i], first[i + 1]
                     out.append(features(m.passages(word[a:b], prefix[a:b], fitted[f]), int(b - a)))
-                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.list_(pa.float64()))], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     return run
 
@@ -207,7 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int
     parts = rows.join(sample, "doc_id", "left").select("text", "label", fold).mapInArrow(array_sums(_count), KIND)
     model = Model(total(parts, _TABLES * SIZE).reshape(_TABLES, SIZE).astype(np.float32), drift, most_expected)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    got = rows.join(sample, "doc_id").select("text", "label", fold).mapInArrow(_fold_features(shared), "label int, x array<double>").collect()
+    found = rows.join(sample, "doc_id").select("doc_id", "text", "label", fold).mapInArrow(_fold_features(shared), "doc_id bigint, label int, x array<double>")
+    # one row of each sampled id, however often it is repeated
+    got = found.groupBy("doc_id").agg(F.first("label"), F.min("x")).select("first(label)", "min(x)").collect()
     y = np.array([r[0] for r in got], float)
     if 0 < y.sum() < len(y):
         model.curve = logistic(np.array([r[1] for r in got]), y)

@@ -7,11 +7,13 @@ that it holds nothing nearer than the k-th nearest so far. With `factor` above
 one that bound is scaled up, which prunes more and may lose neighbours; factor
 one is exact. All queries of a block go down a tree together.
 
-Every vector is in one shard's tree; each block of at most `block` queries is
-searched in all shards. Vectors that are null, empty, zero or hold null or
-non-finite components are neither queries nor candidates. A row of the query's
-own id is not its candidate. Queries are compared with vectors of their own
-dimension only. Ties go to the smaller id. Empty tables give no rows.
+Every vector is in one shard's tree. Queries are gathered in blocks of about
+`block`, and each task searches some shards for one block, so nothing passes
+through the driver. Vectors that are null, empty, zero or hold null or non-finite
+components are neither queries nor candidates. A row of the query's own id is not
+its candidate; of several vectors of such an id the smallest, by components, is the
+query. Queries are compared with vectors of their own dimension only. Ties go to
+the smaller id. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -164,38 +166,65 @@ def _build(key: str, column: str, shard: int):
     return run
 
 
-def _search(queries, k: int, factor: float):
+def _gathered(key: str, column: str):
+    """One row of the usable queries of each dimension of a task's rows: their block, ids and vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            number = batch.column("block").to_numpy()
+            for b in np.unique(number).tolist():
+                for ids, vectors in usable(batch.filter(pa.array(number == b)), key, column):
+                    held.setdefault((b, vectors.shape[1]), []).append((ids, vectors))
+        rows = [(b, dim, np.concatenate([i for i, _ in x]).tobytes(), np.concatenate([v for _, v in x]).tobytes()) for (b, dim), x in held.items()]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "dim", "query_ids", "query_vectors"])
+
+    return run
+
+
+def _search(k: int, factor: float):
+    """The nearest of each query in the shards that follow each other with its block."""
+
+    def found(state: Nearest) -> pa.RecordBatch:
+        q, place = np.nonzero(np.isfinite(state.d))
+        return pa.RecordBatch.from_arrays([pa.array(state.ids[q]), pa.array(state.found[q, place]), pa.array(state.d[q, place])], names=["query_id", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = {dim: Nearest(ids, vectors, k) for dim, (ids, vectors) in queries.value.items()}
+        state, of = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if row["dim"] in states:
-                    states[row["dim"]].search(Tree.of(row), factor)
-        for state in states.values():
-            q, place = np.nonzero(np.isfinite(state.d))
-            yield pa.RecordBatch.from_arrays([pa.array(state.ids[q]), pa.array(state.found[q, place]), pa.array(state.d[q, place])], names=["query_id", "vec_id", "score"])
+                if of != (row["block"], row["dim"]):
+                    if state:
+                        yield found(state)
+                    of = row["block"], row["dim"]
+                    state = Nearest(np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"], np.float64).reshape(-1, row["dim"]), k)
+                state.search(Tree.of(row), factor)
+        if state:
+            yield found(state)
 
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, factor: float = 1.0, shard: int = 4096, block: int = 8192, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`."""
-    spark = vectors.sparkSession
+def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, factor: float = 1.0, shard: int = 4096, block: int = 8192, shards_per_task: int = 2, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`.
+
+    A task takes about `shards_per_task` shards and one block of queries, so shards are
+    copied once for each block, and blocks once for each group of shards.
+    """
     rows = vectors.select(F.col(key).cast("bigint").alias(key), column)
     index = keep(rows.mapInArrow(_build(key, column, shard), _SHARD), "trees")
-    chosen = rows.where(F.col(key) % every == 0).dropDuplicates([key])
+    fit = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(column, lambda x: x != 0)
+    chosen = keep(rows.where((F.col(key) % every == 0) & fit).groupBy(key).agg(F.min(column).alias(column)), "queries")
     blocks = max(1, -(-chosen.count() // block))
-    found = None
-    for b in range(blocks):
-        part = chosen.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        table = part.toArrow()  # a block, however many vectors there are
-        by_dim: dict[int, list] = {}
-        for batch in table.to_batches():
-            for ids, values in usable(batch, key, column):
-                by_dim.setdefault(values.shape[1], []).append((ids, values))
-        queries = spark.sparkContext.broadcast({d: (np.concatenate([i for i, _ in x]), np.concatenate([v for _, v in x])) for d, x in by_dim.items()})
-        some = index.mapInArrow(_search(queries, k, factor), "query_id bigint, vec_id bigint, score double")
-        found = some if found is None else found.unionByName(some)
+    groups = max(1, -(-index.count() // shards_per_task))
+    numbered = chosen.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    gathered = keep(numbered.repartition(blocks, "block").mapInArrow(_gathered(key, column), "block int, dim int, query_ids binary, query_vectors binary"), "blocks")
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    cells = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).select("*", every_block).join(gathered.select("*", every_group), ["group", "block", "dim"])
+    spread = cells.repartition(groups * blocks, "group", "block").sortWithinPartitions("block", "dim")
+    found = spread.mapInArrow(_search(k, factor), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
