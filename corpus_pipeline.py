@@ -1,4 +1,8 @@
-"""Corpus pipeline: five stages over `documents`, each of one operator of corpusloom.llm."""
+"""Corpus pipeline: five stages over `documents`, each of one operator of corpusloom.llm.
+
+All but the last return the columns they are given, whatever their names. Null and
+empty texts and repeated rows are rows like others; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,39 @@ from corpusloom.llm.shared import keep
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learnt from `labels` on the given documents, doesn't reject."""
+    """Documents that the quality classifier, learnt from `labels` on the given documents, doesn't reject.
+
+    Null and empty texts are scored as texts without tokens; repeated rows are each scored.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of 80 % of five-word shingles connect."""
+    """One document of each group, that of the smallest id, that links of 80 % of five-word shingles connect.
+
+    Null and empty texts and rows without an id stay; so do all rows of a kept id.
+    """
     return jaccard_join.keep_one_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 words or more that a document of a smaller id holds."""
+    """Documents without passages of 50 words or more that a document of a smaller id holds.
+
+    A document of which no word is left goes; null and empty texts and rows without an id stay.
+    """
     return passages.remove_repeats(docs)
 
 
 def cut_benchmark_phrases(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of benchmark items."""
+    """Documents without passages of benchmark items.
+
+    A document of which no word is left goes; null and empty texts stay.
+    """
     return decontaminate.remove_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and the sequence each is in."""
+    """Pieces of the remaining documents and the sequence each is in; null and empty texts are one id, repeated rows documents of their own."""
     return packing.pack(docs)
 
 
