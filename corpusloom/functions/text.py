@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: words that query terms leave out
 STOPWORDS = (
@@ -18,6 +22,21 @@ def strip(c) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+
+
+def nfkc(c) -> Column:
+    """Unicode compatibility composition, which no built-in function gives; a null is empty."""
+    return _nfkc(F.coalesce(c, F.lit("")))
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalize_whitespace(c) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
@@ -37,8 +56,8 @@ def word_count(c) -> Column:
 
 
 def search_tokens(c) -> Column:
-    """Lower-case ASCII letters and digits; all else separates."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    """Runs of ASCII letters and digits of the NFKC text in lower case; all else separates."""
+    return F.filter(F.split(F.lower(nfkc(c)), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def query_terms(c) -> Column:
@@ -53,30 +72,56 @@ def sentences(c) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def alpha_ratio(c) -> Column:
-    return _ratio(c, r"[^\p{L}]")
+def dense_length(c) -> Column:
+    """Characters that aren't white space."""
+    return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", ""))
 
 
-def digit_ratio(c) -> Column:
-    return _ratio(c, r"[^\p{Nd}]")
+def _share(c, other: str) -> Column:
+    return let(dense_length(c), lambda n: F.when(n > 0, F.length(F.regexp_replace(F.coalesce(c, F.lit("")), other, "")) / n).otherwise(F.lit(0.0)))
 
 
-def _ratio(c, other: str) -> Column:
-    dense = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
-    return F.when(F.length(dense) > 0, F.length(F.regexp_replace(dense, other, "")) / F.length(dense)).otherwise(F.lit(0.0))
+def alpha_ratio(c) -> Column:
+    return _share(c, r"[^\p{L}]+")
+
+
+def digit_ratio(c) -> Column:
+    return _share(c, r"[^\p{Nd}]+")
 
 
 def repeat_line_ratio(c) -> Column:
     """Share of the most frequent line among lines that aren't empty; 0 below four lines."""
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), normalize_whitespace), lambda x: x != "")
-    # a line's count is the length of its run in the sorted lines
-    runs = F.aggregate(
-        F.array_sort(lines),
-        F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("best")),
-        lambda a, x: F.struct(x.alias("line"), F.when(a["line"] == x, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["best"], F.when(a["line"] == x, a["run"] + 1).otherwise(1)).alias("best")),
-        lambda a: a["best"],
-    )
-    return F.when(F.size(lines) >= 4, runs / F.size(lines)).otherwise(F.lit(0.0))
+
+    def run(acc, line):
+        return let(F.when(acc["line"] == line, acc["run"] + 1).otherwise(1), lambda n: F.struct(line.alias("line"), n.alias("run"), F.greatest(acc["best"], n).alias("best")))
+
+    def most(lines):
+        # a line's count is the length of its run in the sorted lines
+        start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+        return F.when(F.size(F.array_distinct(lines)) == F.size(lines), 1).otherwise(F.aggregate(F.array_sort(lines), start, run, lambda acc: acc["best"]))
+
+    return let(lines, lambda x: F.when(F.size(x) >= 4, most(x) / F.size(x)).otherwise(F.lit(0.0)))
+
+
+def matches_any(c, patterns) -> Column:
+    """Whether one of the patterns is found, in any case of letters; those that aren't valid are left out."""
+    import re
+
+    found = F.lit(False)
+    for p in patterns:
+        try:
+            re.compile(p)
+        except re.error:
+            continue
+        found = found | F.coalesce(c, F.lit("")).rlike(f"(?i){p}")
+    return found
+
+
+def safe_name(c, lower: bool = False) -> Column:
+    """Letters, digits, dots, underscores and hyphens; all else is an underscore, none at the ends."""
+    name = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
+    return F.lower(name) if lower else name
 
 
 def hash_id(c, n: int = 16) -> Column:
@@ -98,3 +143,41 @@ def domain_allowed(c, domains: list[str]) -> Column:
     """The host, with its port, is one of the domains or ends in one of them after a dot."""
     allowed = F.array(*(F.lit(d) for d in domains))
     return F.exists(allowed, lambda d: (host(c) == d) | F.endswith(host(c), F.concat(F.lit("."), d)))
+
+
+def passes_filters(c, prefixes=(), substrings=(), deny_substrings=(), deny_patterns=()) -> Column:
+    """A URL that begins with one of the prefixes and holds one of the substrings, where such are given, and none of what is denied."""
+    url = F.coalesce(c, F.lit(""))
+    some = lambda test, values: F.exists(F.array(*(F.lit(v) for v in values)), test)
+    ok = F.lit(True)
+    if prefixes:
+        ok = ok & some(lambda v: F.startswith(url, v), prefixes)
+    if substrings:
+        ok = ok & some(lambda v: F.contains(url, v), substrings)
+    if deny_substrings:
+        ok = ok & ~some(lambda v: F.contains(url, v), deny_substrings)
+    for pattern in deny_patterns:
+        ok = ok & ~url.rlike(pattern)
+    return ok
+
+
+# fixed values: file extensions of content types
+EXTENSIONS = {"text/html": ".html", "application/pdf": ".pdf", "text/plain": ".txt", "text/css": ".css", "text/csv": ".csv", "text/xml": ".xml", "application/json": ".json", "application/zip": ".zip", "image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/svg+xml": ".svg"}
+
+
+def guess_extension(url, content_type) -> Column:
+    """.html or .pdf by content type, else the path's own extension, else the content type's, else .bin."""
+    mime = F.lower(F.trim(F.element_at(F.split(F.coalesce(content_type, F.lit("")), ";"), 1)))
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    own = F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^/.]+)$", 1))
+    known = F.create_map(*(F.lit(v) for pair in EXTENSIONS.items() for v in pair))
+    return (
+        F.when(mime.isin("text/html"), ".html")
+        .when((mime == "application/pdf") | F.endswith(F.lower(F.coalesce(url, F.lit(""))), F.lit(".pdf")), ".pdf")
+        .when(own != "", own)
+        .otherwise(F.coalesce(F.element_at(known, mime), F.lit(".bin")))
+    )
+
+
+def chunk_id(doc_id, index, text) -> Column:
+    return F.concat_ws("_", doc_id, index.cast("string"), hash_id(text, 10))

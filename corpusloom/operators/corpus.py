@@ -8,15 +8,32 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def quality_reason(text: Column, min_alpha: float = 0.45, max_digit: float = 0.45, max_repeat: float = 0.5) -> Column:
-    """Why a text is dropped: the first rule that applies, or ''."""
-    return (
-        F.when(F.length(F.regexp_replace(text, r"(?U)\s+", "")) == 0, "empty")
-        .when(T.alpha_ratio(text) < min_alpha, "low_alpha_ratio")
-        .when(T.digit_ratio(text) > max_digit, "high_digit_ratio")
-        .when(T.repeat_line_ratio(text) > max_repeat, "repeat_lines")
-        .otherwise("")
-    )
+def quality_reason(text: Column, min_alpha: float = 0.45, max_digit: float = 0.45, max_repeat: float = 0.5, patterns: dict | None = None) -> Column:
+    """Why a text is dropped: the first rule that applies, or ''.
+
+    patterns: by reason (such as url_pattern), a column and the patterns that must not be
+    found in it; they come before the other rules, in their order.
+    """
+    found = F.coalesce(text, F.lit(""))
+    count = lambda other: F.length(F.regexp_replace(found, other, ""))
+
+    def by_shares(dense: Column) -> Column:
+        return (
+            F.when(dense == 0, "empty")
+            .when(count(r"[^\p{L}]+") / dense < min_alpha, "low_alpha_ratio")
+            .when(count(r"[^\p{Nd}]+") / dense > max_digit, "high_digit_ratio")
+            .when(T.repeat_line_ratio(found) > max_repeat, "repeat_lines")
+            .otherwise("")
+        )
+
+    reason = T.let(T.dense_length(found), by_shares)
+    for name, (column, some) in reversed(list((patterns or {}).items())):
+        reason = F.when(T.matches_any(column, some), name).otherwise(reason)
+    return reason
+
+
+def _text_key(c: Column) -> Column:
+    return F.sha2(F.encode(F.lower(T.normalize_whitespace(c)), "UTF-8"), 256)
 
 
 def dedupe_exact(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,15 +42,19 @@ def dedupe_exact(docs: DataFrame, order: str = "doc_id", text: str = "text") ->
     Only hashes and orders are grouped, with partial sums, so a text of very many
     copies is no hot group; the kept orders then join the rows.
     """
-    key = F.sha2(F.encode(F.lower(T.normalize_whitespace(F.col(text))), "UTF-8"), 256)
-    first = docs.select(F.col(order), key.alias("_key")).groupBy("_key").agg(F.min(order).alias(order)).select(order)
+    first = docs.select(F.col(order), _text_key(F.col(text)).alias("_key")).groupBy("_key").agg(F.min(order).alias(order)).select(order)
     return docs.join(first, order, "left_semi")
 
 
-def build_corpus(docs: DataFrame, min_chars: int = 100) -> DataFrame:
-    """Rows that are long enough, of good quality, and the first of their text."""
-    clean = docs.withColumn("text", T.strip(F.col("text"))).where(F.length("text") >= min_chars)
-    return dedupe_exact(clean.where(quality_reason(F.col("text")) == ""))
+def build_corpus(docs: DataFrame, min_chars: int = 100, order: str = "doc_id", **quality) -> DataFrame:
+    """Rows, by their unique `order`, that are long enough, of good quality, and the first of their text.
+
+    The rules are worked out once, on a table of orders and hashes, which then joins the rows.
+    """
+    clean = docs.withColumn("text", T.strip(F.col("text")))
+    good = clean.where(F.length("text") >= min_chars).where(quality_reason(F.col("text"), **quality) == "")
+    first = good.select(F.col(order), _text_key(F.col("text")).alias("_key")).groupBy("_key").agg(F.min(order).alias(order)).select(order)
+    return clean.join(first, order, "left_semi")
 
 
 def fixed_chunks(docs: DataFrame, size: int = 250, overlap: int = 50, least: int = 20) -> DataFrame:
@@ -60,31 +81,49 @@ def sentence_chunks(docs: DataFrame, size: int = 250, overlap: int = 50, least:
     A full chunk is closed and its last `overlap` words open the next one.
     """
     paragraphs = F.filter(F.transform(F.split(T.strip(F.col("text")), "\n\n"), T.strip), lambda p: p != "")
-    units = F.flatten(F.transform(paragraphs, lambda p: F.when(T.word_count(p) <= size, F.array(p)).otherwise(T.sentences(p))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"))
-
-    def add(acc, unit):
-        own = T.words(unit)
-        full = (F.size(acc["now"]) > 0) & (F.size(acc["now"]) + F.size(own) > size)
-        kept = F.slice(acc["now"], F.greatest(F.size(acc["now"]) - overlap + 1, F.lit(1)), overlap) if overlap else F.array().cast("array<string>")
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"]).alias("done"),
-            F.concat(F.when(full, kept).otherwise(acc["now"]), own).alias("now"),
-        )
-
-    folded = docs.select("doc_id", F.aggregate(units, start, add).alias("f"))
-    chunks = F.when(F.size("f.now") > 0, F.concat("f.done", F.array(F.array_join("f.now", " ")))).otherwise(F.col("f.done"))
-    rows = folded.select("doc_id", chunks.alias("c"))
-    short = (F.size("c") >= 2) & (T.word_count(F.element_at("c", -1)) < least)
+    # each unit as its words; a long paragraph gives its sentences
+    pieces = F.flatten(F.transform(paragraphs, lambda p: T.let(T.words(p), lambda w: F.when(F.size(w) <= size, F.array(w)).otherwise(F.transform(T.sentences(p), T.words)))))
+    units = docs.select("doc_id", pieces.alias("u")).select("doc_id", F.flatten("u").alias("w"), F.transform("u", F.size).alias("n"))
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def add(acc, n):
+        """The open chunk is the words from first to last; a full one is closed and the next begins `overlap` words before its end."""
+        full = (acc["last"] > acc["first"]) & (acc["last"] - acc["first"] + n > size)
+        done = F.when(full, F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(acc["done"])
+        first = F.when(full, F.greatest(acc["first"], acc["last"] - overlap)).otherwise(acc["first"])
+        return F.struct(done.alias("done"), first.alias("first"), (acc["last"] + n).alias("last"))
+
+    folded = units.withColumn("f", F.aggregate("n", start, add))
+    spans = F.when(F.col("f.last") > F.col("f.first"), F.concat("f.done", F.array(F.struct("f.first", "f.last")))).otherwise(F.col("f.done"))
+    rows = folded.select("doc_id", "w", spans.alias("s")).where(F.size("s") > 0)
+    text = F.transform("s", lambda x: F.array_join(F.slice("w", x["first"] + 1, x["last"] - x["first"]), " "))
+    rows = rows.select("doc_id", text.alias("c"), (F.element_at("s", -1)["last"] - F.element_at("s", -1)["first"]).alias("tail"))
+    short = (F.size("c") >= 2) & (F.col("tail") < least)
     merged = F.concat(F.slice("c", 1, F.greatest(F.size("c") - 2, F.lit(0))), F.array(F.concat_ws(" ", F.element_at("c", -2), F.element_at("c", -1))))
-    return rows.where(F.size("c") > 0).select("doc_id", F.posexplode(F.when(short, merged).otherwise(F.col("c"))).alias("chunk_index", "text"))
+    return rows.select("doc_id", F.posexplode(F.when(short, merged).otherwise(F.col("c"))).alias("chunk_index", "text"))
+
 
+def emit_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks with identity and place: chunk_id, start_char, end_char, metadata and the document's columns.
 
-def parent_windows(hits: DataFrame, chunks: DataFrame, window: int = 1, least_hits: int = 1) -> DataFrame:
-    """query_id, doc_id, best, text: chunks within `window` of a hit, joined in order, for documents of `least_hits` hits."""
-    per_doc = Window.partitionBy("query_id", "doc_id")
-    seeds = hits.withColumn("n", F.count("*").over(per_doc)).withColumn("best", F.max("score").over(per_doc)).where(F.col("n") >= least_hits)
-    near = seeds.select("query_id", "doc_id", "best", F.explode(F.sequence(F.greatest(F.col("chunk_index") - window, F.lit(0)), F.col("chunk_index") + window)).alias("chunk_index")).distinct()
-    joined = near.join(chunks, ["doc_id", "chunk_index"])
-    parts = joined.groupBy("query_id", "doc_id", "best").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("parts"))
-    return parts.select("query_id", "doc_id", "best", T.normalize_whitespace(F.array_join(F.transform("parts", lambda p: p["text"]), " ")).alias("text"))
+    A chunk's place is where its text is found in the document's after the start of the
+    last chunk that was found; texts joined anew by spaces are often not found, and null.
+    docs: doc_id (unique), text and, where they are there, title, source_path, source_url,
+    doc_type, metadata (a map, whose entries win).
+    """
+    pieces = chunks.withColumn("text", T.strip(F.col("text"))).where("text <> ''").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("cursor"))
+
+    def find(acc, piece):
+        return T.let(F.locate(piece["text"], F.col("whole"), acc["cursor"]), lambda at: F.struct(F.concat(acc["at"], F.array(at)).alias("at"), F.when(at > 0, at + 1).otherwise(acc["cursor"]).alias("cursor")))
+
+    meta = F.create_map(F.lit("doc_type"), F.col("doc_type") if "doc_type" in docs.columns else F.lit(None).cast("string"))
+    if "metadata" in docs.columns:
+        own = F.coalesce("metadata", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+        meta = F.map_concat(F.map_filter(meta, lambda k, v: ~F.map_contains_key(own, k)), own)
+    carried = [c for c in ("title", "source_path", "source_url") if c in docs.columns]
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole"), *carried, meta.alias("metadata"))
+    rows = whole.join(pieces, "doc_id").withColumn("at", F.aggregate("c", start, find, lambda acc: acc["at"]))
+    each = rows.select("doc_id", *carried, "metadata", F.explode(F.arrays_zip("c", "at")).alias("z"))
+    text, at = F.col("z.c.text"), F.col("z.at")
+    return each.select(T.chunk_id(F.col("doc_id"), F.col("z.c.chunk_index"), text).alias("chunk_id"), "doc_id", F.col("z.c.chunk_index").alias("chunk_index"), text.alias("text"), F.when(at > 0, at - 1).alias("start_char"), F.when(at > 0, at - 1 + F.length(text)).alias("end_char"), *carried, "metadata")
