@@ -42,7 +42,7 @@ def rewrites(question: Column, most: int = 2) -> Column:
     low = F.lower(q)
     opening = F.lit(None).cast("string")
     for old, new in reversed(REWRITES):
-        opening = F.when(F.startswith(low, F.lit(old)), F.concat(F.lit(new), F.substring(q, len(old) + 1, 10_000))).otherwise(opening)
+        opening = F.when(F.startswith(low, F.lit(old)), F.concat(F.lit(new), F.substring(q, F.lit(len(old) + 1), F.length(q)))).otherwise(opening)
     terms = T.query_terms(q)
     listed = F.when(F.size(terms) >= 2, F.array_join(F.slice(terms, 1, 8), " "))
     found = F.filter(F.array(opening, listed), lambda v: v.isNotNull() & (F.lower(v) != low))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +23,35 @@ def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def term_idf(post: DataFrame, n_docs: int) -> DataFrame:
-    """term, df, idf; a negative idf becomes EPSILON times the mean idf of the vocabulary."""
+    """term, df, idf of rows of which each is one document's term; a negative idf becomes EPSILON times the mean idf of the vocabulary."""
     df = post.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean"))  # one row
     return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score (six places), rank. queries: query_id, text; repeated query tokens count each time."""
-    post = postings(docs)
-    stats = docs.select(F.count("*").alias("n"), F.avg(F.size(T.search_tokens(F.col("text")))).alias("avgdl")).first()
-    wanted = queries.select("query_id", F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score (six places), rank. queries: query_id, text; repeated query tokens count each time.
+
+    Only postings of the queries' terms are made. Documents without a query's terms have the
+    score 0 and, smallest key first, fill lists of fewer than k.
+    """
+    tokens = docs.select(key, T.search_tokens(F.col("text")).alias("t"))
+    stats = tokens.select(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
+    asked = queries.select("query_id", F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = asked.select("term").distinct()
+    found = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    idf = term_idf(tokens.select(F.explode(F.array_distinct("t")).alias("term")), stats["n"]).join(wanted, "term", "left_semi")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"] or 1.0)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = post.join(term_idf(post, stats["n"]), "term").join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k)
+    scored = found.join(idf, "term").join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    return top(scored.unionByName(_unmatched(docs, queries, scored, k, key)), k, key)
+
+
+def _unmatched(docs: DataFrame, queries: DataFrame, scored: DataFrame, k: int, key: str) -> DataFrame:
+    """The k smallest keys with score 0 for each query, but for those it matches; no more can enter its list."""
+    least = [r[0] for r in docs.select(key).orderBy(key).limit(k).collect()]
+    first = F.explode(F.array(*(F.lit(v) for v in least))) if least else F.explode(F.array().cast("array<bigint>"))
+    return queries.select("query_id", first.alias(key)).distinct().join(scored, ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -41,15 +59,94 @@ def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000) -> DataFrame:
-    """query_id, doc_id, score, rank by inner product. queries: query_id, embedding, searched in blocks of at most `block` rows."""
-    n = max(1, -(-queries.count() // block))
-    found = []
-    for b in range(n):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", F.col("embedding").alias("q"))
-        dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-        found.append(vectors.join(F.broadcast(some)).select("query_id", "doc_id", F.round(dot, 6).alias("score")))
-    return top(reduce(DataFrame.unionByName, found), k)
+def _as_matrix(block: pa.RecordBatch, column: str) -> np.ndarray:
+    flat = block.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(block.num_rows, -1)
+
+
+def _packed(key: str, column: str, most: int, side: str):
+    """Rows of up to `most` keys and vectors each, with a number that spreads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column(key)), pc.greater(pc.list_value_length(batch.column(column)).fill_null(0), 0)))
+            size = np.asarray(pc.list_value_length(batch.column(column)))
+            for dim in np.unique(size).tolist():
+                own = batch.filter(pa.array(size == dim))
+                for start in range(0, own.num_rows, most):
+                    some = own.slice(start, most)
+                    row = [(part << 20) + n, dim, some.column(key).to_numpy().astype(np.int64).tobytes(), _as_matrix(some, column).tobytes()]
+                    n += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=[f"{side}_no", "dim", f"{side}_ids", f"{side}_vectors"])
+
+    return run
+
+
+def _best_products(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                q, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["v_ids"], np.int64)
+                score = np.round(np.frombuffer(r["q_vectors"], np.float64).reshape(len(q), -1) @ np.frombuffer(r["v_vectors"], np.float64).reshape(len(ids), -1).T, 6)
+                order = np.argsort(ids, kind="stable")  # ties go to the smaller id
+                order = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000, cells: int = 64) -> DataFrame:
+    """query_id, doc_id, score, rank by exact inner product of vectors of one dimension.
+
+    vectors: doc_id, embedding; queries: query_id, embedding. Both are packed into blocks of at
+    most `block`. Each block of queries meets each block of vectors, in up to `cells` groups of
+    these, and leaves the k best of each query only.
+    """
+    kind = "{0}_no bigint, dim int, {0}_ids binary, {0}_vectors binary"
+    v = vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding").mapInArrow(_packed("doc_id", "embedding", block, "v"), kind.format("v"))
+    q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").mapInArrow(_packed("query_id", "embedding", block, "q"), kind.format("q"))
+    v = v.withColumn("cell", F.pmod(F.xxhash64("v_no"), F.lit(cells)))
+    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    return top(v.join(q, ["cell", "dim"]).mapInArrow(_best_products(k), "query_id bigint, doc_id bigint, score double"), k)
+
+
+FUSIONS = {
+    "rrf": lambda d, s, k: fuse_rrf(d, s, k),
+    "weighted": lambda d, s, k: fuse_scores(d, s, k),
+    "weighted_rrf": lambda d, s, k: fuse_rrf(d, s, k, dense_weight=0.5, sparse_weight=0.5),
+    "combmnz": lambda d, s, k: fuse_scores(d, s, k, times_lists=True),
+}
+
+
+def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = 10, fetch: int = 120, method: str = "rrf") -> DataFrame:
+    """query_id, doc_id, score, rank, source of a sparse, dense or hybrid search; closedbook finds nothing.
+
+    queries: query_id, text, embedding. A hybrid search takes `fetch` of each list; a fusion
+    method that isn't known counts as rrf.
+    """
+    if mode == "closedbook":
+        return queries.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double, rank int, source string")
+    if mode not in ("sparse", "dense", "hybrid"):
+        raise ValueError(f"unknown mode {mode}")
+    n = max(fetch, k) if mode == "hybrid" else k
+    sparse = bm25_topk(docs, queries.select("query_id", "text"), n) if mode != "dense" else None
+    dense = dense_topk(vectors, queries.select("query_id", "embedding"), n) if mode != "sparse" else None
+    found = FUSIONS.get(method, FUSIONS["rrf"])(dense, sparse, k) if mode == "hybrid" else sparse if dense is None else dense
+    return found.select("query_id", "doc_id", "score", "rank", F.lit(mode).alias("source"))
+
+
+def annotate(ranked: DataFrame, variant: str) -> DataFrame:
+    """Ranked rows with the name of the query variant that found them."""
+    return ranked.withColumn("query_variant", F.lit(variant))
+
+
+def distinct_variants(variants: DataFrame) -> DataFrame:
+    """query_id, place, variant: the first of each wording, whatever its case and white space, in order of place."""
+    key = F.lower(T.normalize_whitespace(F.col("variant")))
+    own = Window.partitionBy("query_id", key).orderBy("place")
+    rows = variants.where(key != "").withColumn("o", F.row_number().over(own)).where("o = 1")
+    return rows.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).alias("place"), "variant")
 
 
 def _both(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -113,18 +210,52 @@ def diversify(ranked: DataFrame, group: str, cap: int, k: int) -> DataFrame:
     return _kept(ranked.withColumn("over", F.row_number().over(own) > cap).withColumnRenamed("rank", "old_rank"), k, "over", "old_rank", "doc_id").drop("over")
 
 
-def context_block(ranked: DataFrame, budget: int = 5000) -> DataFrame:
-    """query_id, rank, snippet: texts cut to what is left of a budget of characters, in rank order."""
+def _snippets(ranked: DataFrame, budget: int) -> DataFrame:
     before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.lit(budget) - F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
-    return ranked.withColumn("room", room).where("room > 0").select("query_id", "doc_id", "rank", F.expr("substring(text, 1, cast(room as int))").alias("snippet"))
+    text = T.strip(F.col("text"))
+    room = F.lit(budget) - F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))
+    return ranked.withColumn("room", room).where("room > 0").withColumn("snippet", F.substring(text, F.lit(1), F.col("room").cast("int"))).drop("room")
+
 
+def context_snippets(ranked: DataFrame, budget: int = 5000) -> DataFrame:
+    """query_id, doc_id, rank, snippet: texts cut to what is left of a budget of characters, in rank order."""
+    return _snippets(ranked, budget).select("query_id", "doc_id", "rank", "snippet")
 
-def shape_scores(ranked: DataFrame, terms: str = "terms") -> DataFrame:
-    """Adds to scores for query terms in source and in the first 1200 characters of text: .03 (at most .12) and .015 (at most .12) each."""
-    inside = lambda c: F.size(F.filter(terms, lambda t: F.contains(F.lower(c), t)))
-    boost = F.least(F.lit(0.12), 0.03 * inside(F.col("source"))) + F.least(F.lit(0.12), 0.015 * inside(F.substring("text", 1, 1200)))
-    return ranked.withColumn("score", F.round(F.col("score") + boost, 6))
+
+def context_blocks(ranked: DataFrame, budget: int = 5000) -> DataFrame:
+    """query_id, context: numbered snippets under headers of title and source_url, where a row has them. Headers aren't counted."""
+    has = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)) if c in ranked.columns else F.lit(None).cast("string")
+    header = F.concat_ws(" | ", F.concat(F.lit("["), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("string"), F.lit("]")), has("title"), has("source_url"))
+    parts = _snippets(ranked, budget).select("query_id", "rank", F.concat(header, F.lit("\n"), "snippet").alias("part"))
+    return parts.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
+
+
+# fixed values: words in titles and addresses of pages that list things
+LIST_HINTS = ("list of", "/list", "directory", "/directory", "/people", "/faculty", "/staff")
+
+
+def shape_scores(ranked: DataFrame, question: str = "question") -> DataFrame:
+    """Scores with additions for the question's terms, and ranks by them.
+
+    .06 for each term in the title (at most .24), .03 in source_url or source_path (.12), .015 in
+    the text's first 1200 characters (.12); .08 less where title or address look like a list. Columns
+    that aren't there count as empty. Adds shape_adj and pre_shape_score.
+    """
+    low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) if c in ranked.columns else F.lit("") for c in ("title", "source_url", "source_path", "text")}
+    rows = ranked.withColumns({f"_{c}": v for c, v in low.items()} | {"_terms": T.query_terms(F.col(question))})
+    hits = lambda test: F.size(F.filter("_terms", test))
+    inside = lambda c: lambda t: F.contains(F.col(c), t)
+    boost = (
+        F.least(F.lit(0.24), 0.06 * hits(inside("_title")))
+        + F.least(F.lit(0.12), 0.03 * hits(lambda t: F.contains(F.col("_source_url"), t) | F.contains(F.col("_source_path"), t)))
+        + F.least(F.lit(0.12), 0.015 * hits(lambda t: F.contains(F.substring("_text", 1, 1200), t)))
+    )
+    names = F.concat_ws(" ", "_title", "_source_url", "_source_path")
+    listed = F.exists(F.array(*(F.lit(h) for h in LIST_HINTS)), lambda h: F.contains(names, h))
+    rows = rows.withColumn("shape_adj", F.when(F.size("_terms") == 0, 0.0).otherwise(F.round(boost - F.when(listed, 0.08).otherwise(0.0), 6)))
+    rows = rows.withColumn("pre_shape_score", F.col("score")).withColumn("score", F.round(F.col("score") + F.col("shape_adj"), 6)).withColumnRenamed("rank", "_rank")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_rank")
+    return rows.withColumn("rank", F.row_number().over(order)).drop("_rank", "_terms", *(f"_{c}" for c in low))
 
 
 def parent_contexts(ranked: DataFrame, chunks: DataFrame, min_hits: int = 2, window: int = 1, max_chars: int = 2400, most: int = 3) -> DataFrame:
