@@ -42,8 +42,8 @@ def normalize_whitespace(c) -> Column:
 
 
 def clean_basic(c) -> Column:
-    """Non-breaking spaces to spaces, three or more line ends to two, runs of blanks to one; the text must be NFKC."""
-    c = F.translate(F.coalesce(c, F.lit("")), " ", " ")
+    """NFKC, non-breaking spaces to spaces, three or more line ends to two, runs of blanks to one, stripped."""
+    c = F.translate(nfkc(c), "\u00a0", " ")
     return strip(F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), "[ \t]+", " "))
 
 

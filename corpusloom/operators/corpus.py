@@ -115,7 +115,7 @@ def emit_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("cursor"))
 
     def find(acc, piece):
-        return T.let(F.locate(piece["text"], F.col("whole"), acc["cursor"]), lambda at: F.struct(F.concat(acc["at"], F.array(at)).alias("at"), F.when(at > 0, at + 1).otherwise(acc["cursor"]).alias("cursor")))
+        return T.let(F.position(piece["text"], F.col("whole"), acc["cursor"]), lambda at: F.struct(F.concat(acc["at"], F.array(at)).alias("at"), F.when(at > 0, at + 1).otherwise(acc["cursor"]).alias("cursor")))
 
     meta = F.create_map(F.lit("doc_type"), F.col("doc_type") if "doc_type" in docs.columns else F.lit(None).cast("string"))
     if "metadata" in docs.columns:

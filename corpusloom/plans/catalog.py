@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import prompts as P
 from ..functions import questions as Q
 from ..functions import text as T
-from ..operators import corpus, retrieval, training
-from ..sources import crawl
+from ..operators import corpus, mining, retrieval, training
+from ..sources import crawl, files, html
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -261,7 +262,18 @@ def context_block(spark, folder):
     return retrieval.context_snippets(ranked)
 
 
-@query()
+def _any_sql(test: str, values) -> str:
+    return "(" + " OR ".join(test.format(v.replace("'", "''")) for v in values) + ")"
+
+
+_Q = r"lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'))"
+_EXPLAINS = f"(NOT starts_with(q, 'how many ') AND NOT starts_with(q, 'how much ') AND ({_any_sql('starts_with(q, {0!r})', ('why ', 'how '))} OR {_any_sql('contains(q, {0!r})', Q.EXPLANATORY)}))"
+
+
+@query(f"""SELECT conv_id, turn, s AND {_any_sql('starts_with(q, {0!r})', Q.PLURAL)} AS is_plural, s AND NOT {_any_sql('starts_with(q, {0!r})', Q.PLURAL)} AND {_any_sql('starts_with(q, {0!r})', Q.SINGULAR)} AS is_singular_fact,
+  s AND {_EXPLAINS} AS is_explanatory, s AND NOT {_EXPLAINS} AND {_any_sql('starts_with(q, {0!r})', Q.FACTOID)} AS is_factoid,
+  s AND (contains(q, 'what year') OR (starts_with(q, 'when ') AND contains(q, 'year'))) AS is_year, s AND starts_with(q, 'when ') AS is_when
+FROM (SELECT conv_id, turn, {_Q} AS q, coalesce(text, '') <> '' AS s FROM conversations)""")
 def question_class(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", *(c.alias(n) for n, c in Q.classes(F.col("text")).items()))
 
@@ -309,14 +321,43 @@ def link_extract(spark, folder):
     return crawl.links(table(spark, folder, "pages"))
 
 
-@query()
-def crawl_bfs(spark, folder):
+def _canonical_sql(c: str) -> str:
+    path = f"regexp_extract({c}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+    return f"(lower(regexp_extract({c}, '^[^:/?#]+://[^/?#]*')) || CASE WHEN {path} IN ('', '/') THEN '/' ELSE regexp_replace({path}, '/$', '') END)"
+
+
+_HREFS = """hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw FROM pages),
+web AS (SELECT DISTINCT CANON_U AS source, CANON_H AS url FROM (SELECT url, CASE WHEN starts_with(raw, '/') THEN regexp_extract(url, '^[^:/?#]+://[^/?#]*') || raw ELSE raw END AS href FROM hrefs WHERE raw <> '') WHERE regexp_matches(href, '^https?://')),
+known AS (SELECT DISTINCT CANON_U AS url FROM pages)""".replace("CANON_U", _canonical_sql("url")).replace("CANON_H", _canonical_sql("href"))
+_CRAWLED = f"""WITH RECURSIVE {_HREFS},
+reach AS (SELECT DISTINCT {_canonical_sql("u")} AS url, 0 AS depth FROM (SELECT min(url) AS u FROM pages GROUP BY lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)))
+  UNION SELECT web.url, depth + 1 FROM reach JOIN known USING (url) JOIN web ON source = reach.url WHERE depth < 4),
+visited AS (SELECT url, min(depth) AS depth FROM reach GROUP BY url),
+crawled AS (SELECT url, CAST(depth AS INTEGER) AS depth, CASE WHEN url IN (SELECT url FROM known) THEN 'ok' ELSE 'error' END AS status FROM visited)"""
+
+
+def _crawled(spark, folder) -> DataFrame:
     pages = table(spark, folder, "pages")
-    web = pages.select("page_id", "url").join(crawl.links(pages), "page_id").select("url", "href")
-    starts = pages.groupBy(T.host(F.col("url"))).agg(F.min("url").alias("url"))  # one page of each host
+    web = pages.select("page_id", "url").join(crawl.links(pages), "page_id").select("url", "place", "href")
+    starts = pages.groupBy(T.host(F.col("url"))).agg(F.min("url").alias("url"), F.min("page_id").alias("place"))  # one page of each host
     return crawl.crawl(pages, web, starts, 4)
 
 
+@query(f"{_CRAWLED} SELECT * FROM crawled")
+def crawl_bfs(spark, folder):
+    return _crawled(spark, folder).select("url", "depth", "status")
+
+
+@query(f"{_CRAWLED} SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'ok') AS html, CAST(0 AS BIGINT) AS pdf, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (status = 'error') AS errors FROM crawled")
+def crawl_summary(spark, folder):
+    return crawl.summary(_crawled(spark, folder))
+
+
+@query()
+def html_document(spark, folder):
+    return table(spark, folder, "pages").select("page_id", html.html_document("html", "url").alias("d")).select("page_id", "d.title", "d.text")
+
+
 @query("SELECT doc_id, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i <= 5 THEN -100 ELSE length(t[i]) END)::VARCHAR AS labels FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)")
 def train_labels_mask(spark, folder):
     ids = F.transform(F.split("text", " "), F.length)
@@ -324,14 +365,187 @@ def train_labels_mask(spark, folder):
     return training.mask_prompt(rows).select("doc_id", F.concat(F.lit("["), F.array_join("labels", ", "), F.lit("]")).alias("labels"))
 
 
-@query("""WITH t AS (SELECT doc_id, source, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM documents), m AS (SELECT source, max(len(ids)) AS n FROM t GROUP BY source)
-SELECT doc_id, CAST(n AS INTEGER) AS padded, CAST(len(ids) AS INTEGER) AS used, CAST(list_sum(ids) AS BIGINT) AS total FROM t JOIN m USING (source)""")
+_IDS = "list_transform(string_split(text, ' '), lambda w: length(w))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, doc_id // 32 AS batch, {_IDS} AS ids FROM documents), m AS (SELECT batch, max(len(ids)) AS n FROM t GROUP BY batch)
+SELECT doc_id, CAST(n AS INTEGER) AS padded, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN i > len(ids) THEN 0 ELSE 1 END), '') AS mask,
+  array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN i > len(ids) THEN 0 ELSE ids[i] END), ' ') AS ids,
+  array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN i > len(ids) OR i <= 5 THEN -100 ELSE ids[i] END), ' ') AS labels FROM t JOIN m USING (batch)""")
 def train_pad_batch(spark, folder):
-    rows = documents(spark, folder).select("doc_id", "source", F.transform(F.split("text", " "), F.length).alias("ids"))
-    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return training.pad_batches(rows, "source").select("doc_id", F.size("ids").alias("padded"), add("mask").cast("int").alias("used"), add("ids").alias("total"))
+    """Batches of 32 neighbouring ids."""
+    rows = documents(spark, folder).select("doc_id", F.expr("doc_id div 32").alias("batch"), F.transform(F.split("text", " "), F.length).alias("ids"), F.lit(5).alias("prompt_len"))
+    padded = training.pad_batches(training.mask_prompt(rows), "batch", labels="labels")
+    return padded.select("doc_id", F.col("longest").alias("padded"), F.array_join("mask", "").alias("mask"), F.array_join("ids", " ").alias("ids"), F.array_join("labels", " ").alias("labels"))
+
+
+@query(f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN len(list_filter(ids, lambda x: x >= 24)) > 0 THEN 'bad_token' WHEN len(ids) <= 12 THEN 'all_ignored' ELSE '' END AS reason FROM (SELECT {_IDS} AS ids FROM documents)) GROUP BY reason""")
+def train_validity(spark, folder):
+    rows = documents(spark, folder).select(F.transform(F.split("text", " "), F.length).alias("ids"), F.lit(12).alias("prompt_len"))
+    return training.mask_prompt(rows).groupBy(training.drop_reason(24).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT line, b.text AS question, lang AS answer FROM (SELECT CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS line, trim(text, E' \n\t\r') AS text FROM benchmark WHERE trim(text, E' \n\t\r') <> '') b JOIN documents ON doc_id = line WHERE lang <> ''""")
+def train_join(spark, folder):
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("question"))
+    return training.join_references(asked, documents(spark, folder).select(F.col("doc_id").alias("key"), F.col("lang").alias("answer")))
 
 
-@query("SELECT count(*) AS missing FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT i = 1 AS eval, CASE WHEN i = 1 THEN CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) ELSE count(*) - CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) END AS n FROM documents, (SELECT unnest([0, 1]) AS i) GROUP BY i")
+def train_split(spark, folder):
+    return training.split_rows(documents(spark, folder).select("doc_id"), "doc_id", 0.1).groupBy("eval").agg(F.count("*").alias("n"))
+
+
+_SIDES = """SELECT 'no chunk' AS side, count(*) AS n FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents))
+UNION ALL SELECT 'not indexed', count(*) FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))"""
+
+
+@query(_SIDES)
 def index_consistency(spark, folder):
-    return table(spark, folder, "embeddings").join(documents(spark, folder), F.col("vec_id") == F.col("doc_id"), "left_anti").agg(F.count("*").alias("missing"))
+    return files.consistency(table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id"), documents(spark, folder), "doc_id")
+
+
+_HINTS = " OR ".join(f"contains(tu, '{h}')" for h in retrieval.LIST_HINTS)
+_TERMS = "list_filter(regexp_extract_all(lower(coalesce(b.text, '')), '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))"
+
+
+@query(f"""WITH {_BM25}, s AS {_top("bm", 20)}, h AS (SELECT s.query_id, s.doc_id, s.score, s.rank, {_TERMS} AS terms, lower(d.lang) AS ti, lower(d.source) AS su, lower(substr(d.text, 1, 1200)) AS tx, lower(d.lang || ' ' || d.source || ' ') AS tu
+  FROM s JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = s.query_id),
+a AS (SELECT *, CASE WHEN len(terms) = 0 THEN 0.0 ELSE round(least(0.24::DOUBLE, 0.06::DOUBLE * len(list_filter(terms, lambda t: contains(ti, t)))) + least(0.12::DOUBLE, 0.03::DOUBLE * len(list_filter(terms, lambda t: contains(su, t))))
+  + least(0.12::DOUBLE, 0.015::DOUBLE * len(list_filter(terms, lambda t: contains(tx, t)))) - CASE WHEN {_HINTS} THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END, 6) END AS adj FROM h),
+c AS (SELECT query_id, doc_id, adj AS shape_adj, round(score + adj, 6) AS score, rank AS old FROM a)
+SELECT query_id, doc_id, shape_adj, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS INTEGER) AS rank FROM c""")
+def score_shaping(spark, folder):
+    """The language stands for a title and the source for an address."""
+    docs = documents(spark, folder).select("doc_id", F.col("lang").alias("title"), F.col("source").alias("source_url"), "text")
+    asked = benchmark_queries(spark, folder)
+    ranked = retrieval.bm25_topk(docs, asked, 20).join(docs, "doc_id").join(asked.withColumnRenamed("text", "question"), "query_id")
+    return retrieval.shape_scores(ranked).select("query_id", "doc_id", "shape_adj", "score", "rank")
+
+
+@query(_fused("round(coalesce(1.0::DOUBLE / (60 + dr), 0) + coalesce(1.0::DOUBLE / (60 + sr), 0), 9)", "dr NULLS LAST, sr NULLS LAST,").replace(") AS INTEGER) AS rank", ") AS INTEGER) AS rank, 'hybrid' AS source"))
+def hybrid_topk(spark, folder):
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = benchmark_queries(spark, folder).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
+    docs = documents(spark, folder)
+    return retrieval.retrieve(docs, vectors.join(docs, "doc_id", "left_semi"), asked, fetch=50)
+
+
+@query(f"""WITH {_BM25}, s AS {_top("bm", 10)}, t AS (SELECT s.query_id, rank, lang, source, {_STRIP.replace("text", "d.text")} AS x FROM s JOIN documents d USING (doc_id)),
+r AS (SELECT *, 5000 - coalesce(sum(length(x)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM t)
+SELECT query_id, string_agg('[' || rank || '] | ' || lang || ' | ' || source || chr(10) || substr(x, 1, CAST(room AS INTEGER)), chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE room > 0 GROUP BY query_id""")
+def context_headers(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "text", F.col("lang").alias("title"), F.col("source").alias("source_url"))
+    return retrieval.context_blocks(retrieval.bm25_topk(docs, benchmark_queries(spark, folder)).join(docs, "doc_id"))
+
+
+@query("SELECT item_id, 'Question: ' || text || E'\n\nContext:\n' || CASE WHEN item_id % 2 = 0 THEN text ELSE '(no retrieved context provided)' END || E'\n\nAnswer:' AS prompt FROM benchmark")
+def answer_prompts(spark, folder):
+    context = F.when(F.col("item_id") % 2 == 0, F.col("text"))
+    return table(spark, folder, "benchmark").select("item_id", P.answer_user(F.col("text"), context).alias("prompt"))
+
+
+@query(f"SELECT doc_id, chunk_index, doc_id || '_' || chunk_index || '_' || substr(sha1(text), 1, 10) AS chunk_id, lang AS kind FROM ({_fixed_sql(250, 50, 20)}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
+def chunk_identity(spark, folder):
+    docs = documents(spark, folder).withColumnRenamed("lang", "doc_type")
+    return corpus.emit_chunks(docs, corpus.fixed_chunks(docs)).select("doc_id", "chunk_index", "chunk_id", F.col("metadata")["doc_type"].alias("kind"))
+
+
+@query()
+def chunk_spans(spark, folder):
+    docs = documents(spark, folder)
+    return corpus.emit_chunks(docs, corpus.sentence_chunks(docs)).select("doc_id", "chunk_index", "text", "start_char", "end_char")
+
+
+@query(f"""WITH {_REPEAT} SELECT doc_id, CASE WHEN regexp_matches(source, '(?i)SITE1$') THEN 'url_pattern' WHEN regexp_matches(lang, '(?i)^D') THEN 'title_pattern' WHEN regexp_matches(coalesce(text, ''), '(?i)[0-9]{{4}}-[0-9]{{2}}') THEN 'text_pattern'
+  WHEN length({_DENSE}) = 0 THEN 'empty' WHEN {_ALPHA} < 0.45 THEN 'low_alpha_ratio' WHEN {_DIGIT} > 0.45 THEN 'high_digit_ratio' WHEN coalesce(ratio, 0) > 0.5 THEN 'repeat_lines' ELSE '' END AS reason FROM documents LEFT JOIN repeats USING (doc_id)""")
+def pattern_reason(spark, folder):
+    rules = {"url_pattern": (F.col("source"), ["SITE1$", "(not valid"]), "title_pattern": (F.col("lang"), ["^D"]), "text_pattern": (F.col("text"), ["[0-9]{4}-[0-9]{2}"])}
+    return documents(spark, folder).select("doc_id", corpus.quality_reason(F.col("text"), patterns=rules).alias("reason"))
+
+
+@query("SELECT page_id FROM pages WHERE (starts_with(url, 'https://') OR starts_with(url, 'http://')) AND (contains(url, '/') OR contains(url, 'x')) AND NOT contains(url, '#') AND NOT regexp_matches(url, '[0-9]{3}$')")
+def url_rules(spark, folder):
+    ok = T.passes_filters(F.col("url"), ["https://", "http://"], ["/", "x"], ["#"], ["[0-9]{3}$"])
+    return table(spark, folder, "pages").where(ok).select("page_id")
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name, lower(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')) AS low FROM pages")
+def safe_names(spark, folder):
+    return table(spark, folder, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"), T.safe_name(F.col("url"), True).alias("low"))
+
+
+@query(r"""SELECT page_id, CASE WHEN m = 'text/html' THEN '.html' WHEN m = 'application/pdf' OR ends_with(lower(url), '.pdf') THEN '.pdf' WHEN own <> '' THEN own WHEN m = 'text/plain' THEN '.txt' ELSE '.bin' END AS ext
+FROM (SELECT page_id, url, ['text/html', 'application/pdf', 'text/plain', 'x/y'][page_id % 4 + 1] AS m, lower(regexp_extract(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '[^/.][^/]*?(\.[^/.]+)$', 1)) AS own FROM pages)""")
+def url_extension(spark, folder):
+    kind = F.get(F.array(*(F.lit(k) for k in ("text/html; charset=utf-8", "Application/PDF", "text/plain", "x/y"))), (F.col("page_id") % 4).cast("int"))
+    return table(spark, folder, "pages").select("page_id", T.guess_extension(F.col("url"), kind).alias("ext"))
+
+
+@query(r"""WITH a AS (SELECT conv_id, max_by(trim(text, E' \n\t\r'), turn) AS other FROM conversations WHERE trim(text, E' \n\t\r') <> '' GROUP BY conv_id) SELECT CAST(doc_id AS VARCHAR) AS chunk_id, coalesce(other, text) AS text FROM documents LEFT JOIN a ON conv_id = doc_id""")
+def alternate_texts(spark, folder):
+    others = table(spark, folder, "conversations").select(F.col("turn").alias("place"), F.col("conv_id").cast("string").alias("chunk_id"), "text")
+    return files.with_alternate_texts(documents(spark, folder).select(F.col("doc_id").cast("string").alias("chunk_id"), "text"), others)
+
+
+@query("SELECT split_part(url, '/', 3) AS path, max_by(url, page_id) AS url FROM pages WHERE page_id % 3 <> 0 GROUP BY 1")
+def manifest_lookup(spark, folder):
+    status = F.when(F.col("page_id") % 3 == 0, "error").otherwise("ok")
+    return files.manifest_urls(table(spark, folder, "pages").select(F.col("page_id").alias("place"), status.alias("status"), F.split_part("url", F.lit("/"), F.lit(3)).alias("file_path"), "url"))
+
+
+@query(r"SELECT item_id AS query_id, CAST(1 AS INTEGER) AS place, text AS variant FROM benchmark UNION ALL SELECT item_id, 2, left(text, 20) FROM benchmark WHERE lower(trim(left(text, 20))) <> lower(text)")
+def distinct_variants(spark, folder):
+    asked = benchmark_queries(spark, folder)
+    others = F.array("text", F.lower("text"), F.lit("  "), F.left("text", F.lit(20)), F.concat(F.lit(" "), F.lower(F.left("text", F.lit(20)))))
+    return retrieval.distinct_variants(asked.select("query_id", F.posexplode(others).alias("place", "variant")))
+
+
+@query(f"WITH {_BM25}, s AS {_top('bm', 5)} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, v AS query_variant FROM s, (SELECT unnest(['first', 'second']) AS v)")
+def annotate_variants(spark, folder):
+    ranked = retrieval.bm25_topk(documents(spark, folder), benchmark_queries(spark, folder), 5).select("query_id", "doc_id", "rank")
+    return retrieval.annotate(ranked, "first").unionByName(retrieval.annotate(ranked, "second"))
+
+
+@query("SELECT '{\"name\":\"x\",' || string_agg('\"' || item_id || '\":\"' || left(text, 12) || '\"', ',' ORDER BY item_id) || '}' AS json FROM benchmark WHERE NOT regexp_matches(left(text, 12), '[\"\\\\\\n\\t]')")
+def submission_json(spark, folder):
+    rows = table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.left("text", F.lit(12)).alias("answer"))
+    return files.submission(rows.where(~F.col("answer").rlike('["\\\\\n\t]')), {"name": "x"})
+
+
+@query(f"WITH {_BM25}, s AS {_top('bm', 5)} SELECT query_id, string_agg(rank || ':' || s.doc_id || ':' || source || ':' || substr(text, 1, 300), '|' ORDER BY rank) AS trace FROM s JOIN documents USING (doc_id) GROUP BY query_id")
+def trace_export(spark, folder):
+    docs = documents(spark, folder)
+    ranked = retrieval.bm25_topk(docs, benchmark_queries(spark, folder), 5).join(docs, "doc_id")
+    row = lambda x: F.concat_ws(":", x["rank"].cast("string"), x["doc_id"].cast("string"), x["source"], x["text_preview"])
+    return files.traces(ranked, ["doc_id", "score", "source"]).select("query_id", F.array_join(F.transform("retrieval", row), "|").alias("trace"))
+
+
+@query()
+def mine_qa(spark, folder):
+    docs = documents(spark, folder).select(F.col("doc_id").alias("ord"), "text", F.col("source").alias("title"), F.lit(None).cast("string").alias("source_url"), F.lit("data/raw/x").alias("source_path"))
+    return mining.mine(docs)
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '\[[0-9]+\]', '', 'g')), '^[ \t,;:.]+|[ \t,;:.]+$', '', 'g'), '\s+', ' ', 'g'))"
+_HAS = lambda c, parts: _any_sql(f"contains(lower({c}), '{{0}}')", parts)
+_N = r"len(list_filter(regexp_split_to_array(trim(x), '\s+'), lambda w: w <> ''))"
+
+
+@query(f"""SELECT conv_id, turn, x AS answer, length(x) >= 2 AND {_N} <= 12 AND NOT {_HAS("x", ("|", "http", "<", ">", *mining.BAD_ANSWERS))} AS good_answer, x <> '' AND {_N} <= 9 AND NOT {_HAS("x", mining.BAD_ENTITIES)} AS good_entity
+FROM (SELECT conv_id, turn, {_CLEAN} AS x FROM conversations)""")
+def answer_filters(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", mining.clean_answer(F.col("text")).alias("answer"))
+    return rows.select("*", mining.good_answer(F.col("answer")).alias("good_answer"), mining.good_entity(F.col("answer")).alias("good_entity"))
+
+
+@query(r"SELECT page_id, CASE WHEN t <> '' THEN t ELSE 'this organization' END AS entity FROM (SELECT page_id, trim(split_part(trim(split_part(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+', ' ', 'g')), '|', 1)), ' - ', 1)) AS t FROM pages)")
+def page_entity(spark, folder):
+    return table(spark, folder, "pages").select("page_id", mining.entity(F.regexp_extract("html", "<title>([^<]*)", 1), F.lit(None).cast("string")).alias("entity"))
+
+
+@query("SELECT DISTINCT source AS name, lang AS \"group\" FROM documents WHERE lang IN ('en', 'de') AND lower(source) <> (SELECT lower(min(source)) FROM documents)")
+def job_filter(spark, folder):
+    jobs = documents(spark, folder).select(F.col("source").alias("name"), F.col("lang").alias("group")).distinct()
+    least = jobs.agg(F.min("name")).first()[0]
+    return crawl.filter_jobs(jobs, groups=["EN", "de"], exclude=[least.upper()])

@@ -2,38 +2,77 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .html import html_links
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, place, href: targets of anchors, resolved against the page's host when they start with "/"; mail, script and telephone links left out."""
-    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(hrefs).alias("place", "raw")).where("raw <> '' and not raw rlike '^(?i)(mailto|javascript|tel):'")
-    root = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*", 0)
-    return rows.select("page_id", "place", F.when(F.startswith("raw", F.lit("/")), F.concat(root, "raw")).otherwise(F.col("raw")).alias("href"))
+    """page_id, place, href: targets of anchors in order, resolved against the page's address."""
+    return pages.select("page_id", F.posexplode(html_links("html", "url")).alias("place", "href"))
 
 
-def crawl(pages: DataFrame, web: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
-    """url, depth of all pages, with links or not, that links reach from the seeds in at most max_depth steps.
+def crawl(pages: DataFrame, web: DataFrame, seeds: DataFrame, max_depth: int = 4, max_pages: int | None = None, domains: list[str] | None = None, allow_query: bool = False, **filters) -> DataFrame:
+    """url, depth, place, status of what is visited from the seeds, breadth first, each address once.
 
-    pages: url; web: url, href. One job for each level; the frontier is checkpointed and joined with what was visited.
+    pages: url; web: url, place, href; seeds: place, url. Status is ok, or error for an address
+    without a page. A level's addresses come in order of the page that links to them and of their
+    place there; max_pages, counted over all that is visited, cuts the last level by that order. domains and
+    filters (see passes_filters) hold for seeds and links. The session needs a checkpoint folder
+    that all executors share; each level is checkpointed there.
     """
     spark = web.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-crawl-"))
-    known = web.select(T.canonical_url(F.col("url")).alias("url"), T.canonical_url(F.col("href")).alias("href")).distinct()
-    pages = pages.select(T.canonical_url(F.col("url")).alias("url")).distinct()
-    frontier = seeds.select(T.canonical_url(F.col("url")).alias("url")).distinct().join(pages, "url", "left_semi").withColumn("depth", F.lit(0)).checkpoint()
-    visited = frontier
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(known, "url").select(F.col("href").alias("url")).distinct()
-        frontier = step.join(pages, "url", "left_semi").join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if frontier.isEmpty():
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+    def fit(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("url").rlike("^https?://")).where(T.passes_filters(F.col("url"), **filters))
+        return rows.where(T.domain_allowed(F.col("url"), domains)) if domains else rows
+
+    canonical = lambda c: T.canonical_url(F.col(c), allow_query)
+    known = fit(web.select(canonical("url").alias("source"), "place", canonical("href").alias("url")))
+    pages = pages.select(canonical("url").alias("url"), F.lit("ok").alias("status")).distinct()
+
+    def level(found: DataFrame, depth: int) -> DataFrame:
+        """Addresses with status and place; places ascend over the level's partitions, sorted by parent and place of the link."""
+        first = found.groupBy("url").agg(F.min(F.struct("parent", "link")).alias("o")).orderBy("o", "url").select("url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("place"))
+        return first.join(pages, "url", "left").withColumn("status", F.coalesce("status", F.lit("error"))).checkpoint()
+
+    frontier = level(fit(seeds.select(canonical("url").alias("url"), F.lit(0).cast("long").alias("parent"), F.col("place").cast("long").alias("link"))), 0)
+    levels, left = [], max_pages
+    for depth in range(1, max_depth + 2):
+        if left is not None:
+            n = frontier.count()
+            frontier = frontier if n <= left else frontier.orderBy("place").limit(left).checkpoint()
+            left -= min(n, left)
+        levels.append(frontier)
+        if depth > max_depth or left == 0 or frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier).checkpoint()
-    return visited
+        step = frontier.where("status = 'ok'").select(F.col("url").alias("source"), F.col("place").alias("parent")).join(known.withColumnRenamed("place", "link"), "source")
+        visited = reduce(DataFrame.unionByName, levels).select("url")
+        frontier = level(step.join(visited, "url", "left_anti").select("url", "parent", F.col("link").cast("long").alias("link")), depth)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def summary(visited: DataFrame) -> DataFrame:
+    """Counts of a crawl's rows by status and, where they have a resource_type, by that."""
+    kind = F.col("resource_type") if "resource_type" in visited.columns else F.lit("html")
+    n = lambda c: F.count(F.when(c, 1))
+    ok = F.col("status") == "ok"
+    return visited.agg(n(ok).alias("ok"), n(ok & (kind == "html")).alias("html"), n(ok & (kind == "pdf")).alias("pdf"), n(F.col("status") == "skipped").alias("skipped"), n(F.col("status") == "error").alias("errors"))
+
+
+def filter_jobs(jobs: DataFrame, groups=(), include=(), exclude=()) -> DataFrame:
+    """Jobs (name, group) of the groups and names that are given, without those excluded, in any case of letters."""
+    low = lambda values: [v.lower() for v in values]
+    if groups:
+        jobs = jobs.where(F.lower("group").isin(*low(groups)))
+    if include:
+        jobs = jobs.where(F.lower("name").isin(*low(include)))
+    if exclude:
+        jobs = jobs.where(~F.lower("name").isin(*low(exclude)))
+    return jobs
