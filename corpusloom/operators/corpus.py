@@ -51,10 +51,9 @@ def build_corpus(docs: DataFrame, min_chars: int = 100, order: str = "doc_id", *
 
     The rules are worked out once, on a table of orders and hashes, which then joins the rows.
     """
-    clean = docs.withColumn("text", T.strip(F.col("text")))
-    good = clean.where(F.length("text") >= min_chars).where(quality_reason(F.col("text"), **quality) == "")
-    first = good.select(F.col(order), _text_key(F.col("text")).alias("_key")).groupBy("_key").agg(F.min(order).alias(order)).select(order)
-    return clean.join(first, order, "left_semi")
+    key = T.let(T.strip(F.col("text")), lambda t: F.when((F.length(t) >= min_chars) & (quality_reason(t, **quality) == ""), _text_key(t)))
+    first = docs.select(F.col(order), key.alias("_key")).where("_key is not null").groupBy("_key").agg(F.min(order).alias(order)).select(order)
+    return docs.join(first, order, "left_semi").withColumn("text", T.strip(F.col("text")))
 
 
 def fixed_chunks(docs: DataFrame, size: int = 250, overlap: int = 50, least: int = 20) -> DataFrame:
@@ -82,8 +81,7 @@ def sentence_chunks(docs: DataFrame, size: int = 250, overlap: int = 50, least:
     """
     paragraphs = F.filter(F.transform(F.split(T.strip(F.col("text")), "\n\n"), T.strip), lambda p: p != "")
     # each unit as its words; a long paragraph gives its sentences
-    pieces = F.flatten(F.transform(paragraphs, lambda p: T.let(T.words(p), lambda w: F.when(F.size(w) <= size, F.array(w)).otherwise(F.transform(T.sentences(p), T.words)))))
-    units = docs.select("doc_id", pieces.alias("u")).select("doc_id", F.flatten("u").alias("w"), F.transform("u", F.size).alias("n"))
+    units = F.flatten(F.transform(paragraphs, lambda p: T.let(T.words(p), lambda w: F.when(F.size(w) <= size, F.array(w)).otherwise(F.transform(T.sentences(p), T.words)))))
     start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
     def add(acc, n):
@@ -93,14 +91,19 @@ def sentence_chunks(docs: DataFrame, size: int = 250, overlap: int = 50, least:
         first = F.when(full, F.greatest(acc["first"], acc["last"] - overlap)).otherwise(acc["first"])
         return F.struct(done.alias("done"), first.alias("first"), (acc["last"] + n).alias("last"))
 
-    folded = units.withColumn("f", F.aggregate("n", start, add))
-    spans = F.when(F.col("f.last") > F.col("f.first"), F.concat("f.done", F.array(F.struct("f.first", "f.last")))).otherwise(F.col("f.done"))
-    rows = folded.select("doc_id", "w", spans.alias("s")).where(F.size("s") > 0)
-    text = F.transform("s", lambda x: F.array_join(F.slice("w", x["first"] + 1, x["last"] - x["first"]), " "))
-    rows = rows.select("doc_id", text.alias("c"), (F.element_at("s", -1)["last"] - F.element_at("s", -1)["first"]).alias("tail"))
-    short = (F.size("c") >= 2) & (F.col("tail") < least)
-    merged = F.concat(F.slice("c", 1, F.greatest(F.size("c") - 2, F.lit(0))), F.array(F.concat_ws(" ", F.element_at("c", -2), F.element_at("c", -1))))
-    return rows.select("doc_id", F.posexplode(F.when(short, merged).otherwise(F.col("c"))).alias("chunk_index", "text"))
+    def close(acc):
+        return F.when(acc["last"] > acc["first"], F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(acc["done"])
+
+    def texts(w, spans):
+        text = lambda a, b: F.array_join(F.slice(w, a["first"] + 1, b["last"] - a["first"]), " ")
+        whole = F.transform(spans, lambda x: text(x, x))
+        n, end, before = F.size(spans), F.element_at(spans, -1), F.get(spans, F.size(spans) - 2)
+        short = (n >= 2) & (end["last"] - end["first"] < least)
+        return F.when(short, F.concat(F.transform(F.slice(spans, 1, F.greatest(n - 2, F.lit(0))), lambda x: text(x, x)), F.array(F.concat_ws(" ", text(before, before), text(end, end))))).otherwise(whole)
+
+    # every intermediate array is bound once
+    chunks = T.let(units, lambda u: T.let(F.flatten(u), lambda w: T.let(F.aggregate(F.transform(u, F.size), start, add, close), lambda spans: texts(w, spans))))
+    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_index", "text"))
 
 
 def emit_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -43,15 +43,11 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_
     idf = term_idf(tokens.select(F.explode(F.array_distinct("t")).alias("term")), stats["n"]).join(wanted, "term", "left_semi")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"] or 1.0)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = found.join(idf, "term").join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored.unionByName(_unmatched(docs, queries, scored, k, key)), k, key)
-
-
-def _unmatched(docs: DataFrame, queries: DataFrame, scored: DataFrame, k: int, key: str) -> DataFrame:
-    """The k smallest keys with score 0 for each query, but for those it matches; no more can enter its list."""
-    least = [r[0] for r in docs.select(key).orderBy(key).limit(k).collect()]
-    first = F.explode(F.array(*(F.lit(v) for v in least))) if least else F.explode(F.array().cast("array<bigint>"))
-    return queries.select("query_id", first.alias(key)).distinct().join(scored, ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
+    parts = found.join(idf, "term").join(asked, "term").select("query_id", key, part.alias("part"))
+    least = [r[0] for r in docs.select(key).orderBy(key).limit(k).collect()]  # no more can enter a list with the score 0
+    every = F.explode(F.array(*(F.lit(v) for v in least))) if least else F.explode(F.array().cast("array<bigint>"))
+    zeros = queries.select("query_id", every.alias(key)).withColumn("part", F.lit(0.0))
+    return top(parts.unionByName(zeros).groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score")), k, key)
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
