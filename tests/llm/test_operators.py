@@ -362,6 +362,23 @@ def test_passages_of_common_sentences(spark):
     assert sum(map(len, wanted.values())) >= 40 * 56 and all(wanted[i] <= got[i] for i in texts)
 
 
+def test_passages_cover_all_equal_runs_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    expected, seen = {}, set()
+    for row in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        w = words.findall(low(row.text).encode())
+        runs = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        expected[row.doc_id] = {p for j, run in enumerate(runs) if run in seen for p in range(j, j + 50)}
+        seen.update(runs)
+    covered = defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        assert r.other_id < r.doc_id and r.end_word - r.start_word >= 50
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    assert sum(map(len, expected.values())) > 1000
+    assert all(places <= covered[i] for i, places in expected.items())
+
+
 def test_passages_of_periodic_text(spark):
     """A short line said often, with and without a smaller document that says it less often; seeds on one side of a long passage only."""
     rng = np.random.default_rng(9)
