@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, grammar_store, jaccard_join, main_text, packing, passages, quality, toxicity, vantage, warc
+from . import decontaminate, grammar_store, jaccard_join, main_text, merkle, packing, passages, quality, toxicity, vantage, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,14 +53,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_quality, op3_ngram_jaccard, op4_decontamination, op5_nearest_neighbours, op6_token_files, op7_warc, op8_packing, op9_substring_dedup, op10_main_text]
+    own = [op1_toxicity, op2_quality, op3_ngram_jaccard, op4_decontamination, op5_nearest_neighbours, op6_token_files, op7_warc, op8_packing, op9_substring_dedup, op10_main_text, op11_merkle_manifest]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries whose whole result SQL can give; the rest is held against brute force in tests/llm."""
-    return {"op4_decontamination": DECONTAMINATION_SQL}
+    return {"op4_decontamination": DECONTAMINATION_SQL, "op11_merkle_manifest": MERKLE_SQL}
 
 
 DECONTAMINATION_SQL = r"""
@@ -82,3 +86,34 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_LEAF = "sha256(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || coalesce(strlen(TEXT) || ':' || TEXT, '-'))"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of the trees over leaves (tree, i, d), their tops, and what is beside each node in its run."""
+    return f"""{name}_nodes AS (SELECT tree, 0 AS level, i, d, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+  UNION ALL SELECT tree, level + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), (n + 15) // 16 FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, i // 16, n),
+{name}_top AS (SELECT tree, d FROM {name}_nodes WHERE n = 1),
+{name}_beside AS (SELECT tree, level, i, coalesce(string_agg(d, '') OVER (PARTITION BY tree, level, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(d, '') OVER (PARTITION BY tree, level, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name}_nodes WHERE n > 1),
+{name}_ways AS (SELECT tree, i AS leaf, level, i, before, after FROM {name}_beside WHERE level = 0
+  UNION ALL SELECT w.tree, leaf, b.level, b.i, b.before, b.after FROM {name}_ways w JOIN {name}_beside b ON b.tree = w.tree AND b.level = w.level + 1 AND b.i = w.i // 16)"""
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)) AS v FROM range(256) r(i))),
+hashed AS (SELECT doc_id, coalesce('1' || source, '0') AS source, {_LEAF.replace("TEXT", "text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF.replace("TEXT", _LOWER)} END AS tampered FROM documents, crc),
+placed AS (SELECT doc_id, leaf, coalesce(tampered, leaf) AS changed, dense_rank() OVER (ORDER BY source) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+own AS (SELECT tree, i, leaf AS d FROM placed),
+{_tree_sql("low", "own")},
+roots AS (SELECT 0 AS tree, tree AS i, d FROM low_top),
+{_tree_sql("high", "roots")},
+ways AS (SELECT tree, leaf AS i, level, before, after FROM low_ways UNION ALL SELECT p.tree, p.i, 1000 + level, before, after FROM placed p JOIN high_ways h ON h.leaf = p.tree),
+steps AS (SELECT tree, i, list({{'b': before, 'a': after}} ORDER BY level) AS s, string_agg(before || after, '' ORDER BY level) AS joined FROM ways GROUP BY tree, i),
+folded AS (SELECT doc_id, leaf, p.tree, sha256(coalesce(joined, '')) AS proof_sha256,
+  list_reduce(list_prepend({{'b': changed, 'a': ''}}, coalesce(s, [])), lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b AS folded_root FROM placed p LEFT JOIN steps USING (tree, i))
+SELECT doc_id, leaf, l.d AS subroot, h.d AS root, proof_sha256, folded_root, folded_root = h.d AS verified FROM folded f JOIN low_top l USING (tree) CROSS JOIN high_top h
+"""
