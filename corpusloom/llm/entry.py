@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, grammar_store, jaccard_join, main_text, merkle, packing, passages, quality, toxicity, vantage, warc
+from . import decontaminate, grammar_store, jaccard_join, languages, main_text, merkle, packing, passages, quality, toxicity, vantage, vector_codes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,14 +57,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_quality, op3_ngram_jaccard, op4_decontamination, op5_nearest_neighbours, op6_token_files, op7_warc, op8_packing, op9_substring_dedup, op10_main_text, op11_merkle_manifest]
+    own = [op1_toxicity, op2_quality, op3_ngram_jaccard, op4_decontamination, op5_nearest_neighbours, op6_token_files, op7_warc, op8_packing, op9_substring_dedup, op10_main_text, op11_merkle_manifest, op12_language_id, op13_vector_codes]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries whose whole result SQL can give; the rest is held against brute force in tests/llm."""
-    return {"op4_decontamination": DECONTAMINATION_SQL, "op11_merkle_manifest": MERKLE_SQL}
+    return {"op4_decontamination": DECONTAMINATION_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_vector_codes": CODES_SQL}
 
 
 DECONTAMINATION_SQL = r"""
@@ -117,3 +125,23 @@ folded AS (SELECT doc_id, leaf, p.tree, sha256(coalesce(joined, '')) AS proof_sh
   list_reduce(list_prepend({{'b': changed, 'a': ''}}, coalesce(s, [])), lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b AS folded_root FROM placed p LEFT JOIN steps USING (tree, i))
 SELECT doc_id, leaf, l.d AS subroot, h.d AS root, proof_sha256, folded_root, folded_root = h.d AS verified FROM folded f JOIN low_top l USING (tree) CROSS JOIN high_top h
 """
+
+
+def _round_sql(before: str, after: str) -> str:
+    return f"""{before}_near AS MATERIALIZED (SELECT r, pos, any_value(p.x) AS x, min(CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 64 + k) AS best FROM parts p JOIN {before} c USING (pos) GROUP BY r, pos),
+{before}_means AS (SELECT pos, k, list(m ORDER BY i) AS x FROM (SELECT pos, best % 64 AS k, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM {before}_near, (SELECT unnest([1, 2, 3, 4]) AS i) GROUP BY ALL) GROUP BY pos, k),
+{after} AS MATERIALIZED (SELECT pos, k, coalesce(m.x, c.x) AS x FROM {before} c LEFT JOIN {before}_means m USING (pos, k))"""
+
+
+CODES_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, vec_id, pos, v[pos * 4 + 1:pos * 4 + 4] AS x FROM kept, (SELECT unnest(range(16)) AS pos)),
+c0 AS MATERIALIZED (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS k, x FROM parts QUALIFY k < 64),
+{_round_sql("c0", "c1")},
+{_round_sql("c1", "c2")},
+last AS (SELECT r, pos, min(CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 64 + k) AS best FROM parts p JOIN c2 c USING (pos) GROUP BY r, pos),
+coded AS (SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY pos) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM last GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY pos, k)) AS h FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN coded USING (r) CROSS JOIN book
+"""
