@@ -53,7 +53,7 @@ def augmentations(question: Column, most: int = 2) -> Column:
     """Other searches for a question, without repetitions: without its opening, its capitalised phrases, its first ten terms if there are two."""
     q = T.normalize_whitespace(question)
     stem = F.regexp_replace(F.regexp_replace(q, r"(?i)^(what|when|where|who|which|how many|how much)\s+(is|was|are|were|did|does|do)?\s*", ""), r"^[ ?]+|[ ?]+$", "")
-    phrases = F.regexp_extract_all(q, F.lit(r"\b(?:[A-Z][A-Za-z0-9&.\-']*(?:\s+[A-Z][A-Za-z0-9&.\-']*){0,6})\b"), F.lit(0))
+    phrases = F.regexp_extract_all(q, F.lit(r"(?U)\b(?:[A-Z][A-Za-z0-9&.\-']*(?:\s+[A-Z][A-Za-z0-9&.\-']*){0,6})\b"), F.lit(0))
     phrases = F.filter(phrases, lambda p: ~F.lower(p).isin("what", "when", "where", "who", "which", "how"))
     terms = T.query_terms(q)
     listed = F.when(F.size(terms) >= 2, F.array(F.array_join(F.slice(terms, 1, 10), " "))).otherwise(F.array().cast("array<string>"))

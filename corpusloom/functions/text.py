@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ STOPWORDS = (
     "not", "did", "does", "is", "at", "in", "on", "by", "of", "to",
 )
 
+_TOKEN = re.compile("[a-z0-9]+")
+
 
 def strip(c) -> Column:
     """Without white space of any kind at both ends."""
@@ -60,6 +63,13 @@ def search_tokens(c) -> Column:
     return F.filter(F.split(F.lower(nfkc(c)), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """search_tokens of one text, for use within tasks."""
+    if not text:
+        return []
+    return _TOKEN.findall((text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+
+
 def query_terms(c) -> Column:
     """Tokens of four characters or more that are no stop words; repeated ones stay."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -106,8 +116,6 @@ def repeat_line_ratio(c) -> Column:
 
 def matches_any(c, patterns) -> Column:
     """Whether one of the patterns is found, in any case of letters; those that aren't valid are left out."""
-    import re
-
     found = F.lit(False)
     for p in patterns:
         try:

@@ -2,109 +2,201 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import kept
+from .vector_index import dense_topk
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Scores that a task works out at a time, and rows of weights that are sent to the tasks at a time.
+SCORES, MOST_SENT = 1 << 21, 500_000
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            some = batch.slice(start, 1000)
+            counts = [Counter(T.tokens_of(t)) for t in some.column("text").to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+            own = [
+                pa.array([sum(c.values()) for c in counts], pa.int32()),
+                pa.ListArray.from_arrays(ends, pa.array([t for c in counts for t in c], pa.string())),
+                pa.ListArray.from_arrays(ends, pa.array([n for c in counts for n in c.values()], pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([some.column(0), *own], names=[some.schema.names[0], "dl", "terms", "tfs"])
+
+
+def term_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, dl, terms, tfs: the number of search tokens of each text, its distinct ones and how often it has each.
+
+    One pass in which no row leaves its task.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(_count_terms, f"`{key}` {kind}, dl int, terms array<string>, tfs array<int>")
+
+
+def each_term(counts: DataFrame, *columns: str) -> DataFrame:
+    """The columns, term and tf, a row for each term of term_counts."""
+    return counts.select(*columns, F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(*columns, F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
 
 
 def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """term, key, tf, dl."""
-    tokens = docs.select(key, T.search_tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return tokens.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return each_term(term_counts(docs, key), key, "dl").select("term", key, F.col("tf").cast("bigint").alias("tf"), "dl")
+
+
+def raw_idf(n_docs: int, df: str = "df") -> Column:
+    return F.log(F.lit(float(n_docs)) - F.col(df) + 0.5) - F.log(F.col(df) + 0.5)
+
+
+def idf_of(n_docs: int, mean: Column, df: str = "df") -> Column:
+    """The raw idf; a negative one becomes EPSILON times the mean of the vocabulary's."""
+    raw = raw_idf(n_docs, df)
+    return F.when(raw < 0, EPSILON * mean).otherwise(raw)
 
 
 def term_idf(post: DataFrame, n_docs: int) -> DataFrame:
-    """term, df, idf of rows of which each is one document's term; a negative idf becomes EPSILON times the mean idf of the vocabulary."""
-    df = post.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean"))  # one row
-    return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    """term, df, idf of rows of which each is one document's term."""
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    mean = df.agg(F.avg(raw_idf(n_docs)).alias("mean"))  # one row
+    return df.crossJoin(F.broadcast(mean)).select("term", "df", idf_of(n_docs, F.col("mean")).alias("idf"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
-    """query_id, key, score (six places), rank. queries: query_id, text; repeated query tokens count each time.
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qtf of queries (query_id, text)."""
+    return each_term(term_counts(queries, "query_id"), "query_id").groupBy("query_id", "term").agg(F.sum("tf").alias("qtf"))
 
-    Only postings of the queries' terms are made. Documents without a query's terms have the
-    score 0 and, smallest key first, fill lists of fewer than k.
-    """
-    tokens = docs.select(key, T.search_tokens(F.col("text")).alias("t"))
-    stats = tokens.select(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
-    asked = queries.select("query_id", F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct()
-    found = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    idf = term_idf(tokens.select(F.explode(F.array_distinct("t")).alias("term")), stats["n"]).join(wanted, "term", "left_semi")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"] or 1.0)))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    parts = found.join(idf, "term").join(asked, "term").select("query_id", key, part.alias("part"))
-    least = [r[0] for r in docs.select(key).orderBy(key).limit(k).collect()]  # no more can enter a list with the score 0
-    every = F.explode(F.array(*(F.lit(v) for v in least))) if least else F.explode(F.array().cast("array<bigint>"))
-    zeros = queries.select("query_id", every.alias(key)).withColumn("part", F.lit(0.0))
-    return top(parts.unionByName(zeros).groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score")), k, key)
 
+def saturation(tf, dl, mean_dl: float):
+    """What tf counts for, of columns or arrays; it grows with tf and falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean_dl))
 
-def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+class Weights:
+    """What the terms of some queries weigh, to be sent to tasks."""
 
-def _as_matrix(block: pa.RecordBatch, column: str) -> np.ndarray:
-    flat = block.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(block.num_rows, -1)
+    def __init__(self, rows: pa.Table):
+        self.ids = pc.unique(rows.column("query_id").combine_chunks())
+        self.terms = pc.unique(rows.column("term").combine_chunks())
+        query = pc.index_in(rows.column("query_id"), self.ids).to_numpy()
+        term = pc.index_in(rows.column("term"), self.terms).to_numpy()
+        order = np.argsort(term, kind="stable")
+        self.query, self.weight = query[order].astype(np.int64), rows.column("weight").to_numpy()[order]
+        self.size = np.bincount(term, minlength=len(self.terms))
+        self.start = np.cumsum(self.size) - self.size
 
+    def pairs(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query of each of these terms: place of the term in the list, and number of the pair."""
+        size = self.size[term]
+        at = np.repeat(np.arange(len(term)), size)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[term], size)
 
-def _packed(key: str, column: str, most: int, side: str):
-    """Rows of up to `most` keys and vectors each, with a number that spreads them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            batch = batch.filter(pc.and_(pc.is_valid(batch.column(key)), pc.greater(pc.list_value_length(batch.column(column)).fill_null(0), 0)))
-            size = np.asarray(pc.list_value_length(batch.column(column)))
-            for dim in np.unique(size).tolist():
-                own = batch.filter(pa.array(size == dim))
-                for start in range(0, own.num_rows, most):
-                    some = own.slice(start, most)
-                    row = [(part << 20) + n, dim, some.column(key).to_numpy().astype(np.int64).tobytes(), _as_matrix(some, column).tobytes()]
-                    n += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=[f"{side}_no", "dim", f"{side}_ids", f"{side}_vectors"])
+class Leaders:
+    """The k best keys of each query so far."""
+
+    def __init__(self, weights: Weights, k: int, kind: pa.DataType, floor: np.ndarray | None = None):
+        self.weights, self.k, self.n = weights, k, len(weights.ids)
+        self.rows = pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "key": pa.array([], kind)})
+        self.floor = np.full(self.n, -np.inf) if floor is None else floor
+
+    def add(self, query: np.ndarray, score: np.ndarray, keys: pa.Array) -> None:
+        more = pa.table({"q": pa.array(query), "score": pa.array(score), "key": keys})
+        rows = pa.concat_tables([self.rows, more.cast(self.rows.schema)])
+        rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("score", "descending"), ("key", "ascending")]))
+        q = rows.column("q").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.rows = rows.filter(pa.array(place < self.k)).combine_chunks()
+        last = place == self.k - 1
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], rows.column("score").to_numpy()[last])
+
+    def batch(self, key: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.weights.ids.take(self.rows.column("q").combine_chunks()), self.rows.column("key").combine_chunks(), self.rows.column("score").combine_chunks()], names=["query_id", key, "score"])
 
-    return run
 
+def _score_counts(shared, k: int, mean_dl: float):
+    """The k best of each query among a task's documents (key, dl, terms, tfs); one without its terms has the score 0."""
 
-def _best_products(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, best = shared.value, None
+        step = max(1, SCORES // max(1, len(w.ids)))
         for batch in batches:
-            for r in batch.to_pylist():
-                q, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["v_ids"], np.int64)
-                score = np.round(np.frombuffer(r["q_vectors"], np.float64).reshape(len(q), -1) @ np.frombuffer(r["v_vectors"], np.float64).reshape(len(ids), -1).T, 6)
-                order = np.argsort(ids, kind="stable")  # ties go to the smaller id
-                order = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "doc_id", "score"])
+            best = best or Leaders(w, k, batch.schema.field(0).type)
+            for i in range(0, batch.num_rows, step):
+                some = batch.slice(i, step)
+                some = some.take(pc.sort_indices(some.column(0)))
+                lists = some.column("terms")
+                row = np.repeat(np.arange(some.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                term = pc.index_in(lists.flatten(), w.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+                hit = term >= 0
+                row, term, tf = row[hit], term[hit], some.column("tfs").flatten().to_numpy(zero_copy_only=False)[hit]
+                use = saturation(tf.astype(np.float64), some.column("dl").to_numpy()[row].astype(np.float64), mean_dl)
+                at, pair = w.pairs(term)
+                score = np.bincount(row[at] * best.n + w.query[pair], w.weight[pair] * use[at], some.num_rows * best.n).reshape(-1, best.n)
+                score = np.round(score, 6)
+                may = (score >= best.floor) & (score != 0)
+                may[:k] |= best.floor <= 0  # of those without a term the smallest keys
+                r, q = np.nonzero(may)
+                best.add(q, score[r, q], some.column(0).take(pa.array(r)))
+        if best:
+            yield best.batch(batch.schema.names[0])
 
     return run
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000, cells: int = 64) -> DataFrame:
-    """query_id, doc_id, score, rank by exact inner product of vectors of one dimension.
+def sent_weights(weights: DataFrame) -> Iterator:
+    """The weights (query_id, term, weight) as broadcast variables of about MOST_SENT rows, a query's rows in one of them."""
+    weights = kept(weights.select("query_id", "term", "weight"), "weights")
+    slices = max(1, -(-weights.count() // MOST_SENT))
+    for i in range(slices):
+        rows = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i).toArrow()
+        if rows.num_rows:
+            yield weights.sparkSession.sparkContext.broadcast(Weights(rows))
+
+
+def score_counts(counts: DataFrame, weights: DataFrame, k: int, mean_dl: float, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score of each query's best among the documents of each task; documents are neither joined nor shuffled."""
+    kinds = f"query_id {weights.schema['query_id'].dataType.simpleString()}, `{key}` {counts.schema[key].dataType.simpleString()}, score double"
+    found = [counts.select(key, "dl", "terms", "tfs").mapInArrow(_score_counts(shared, k, mean_dl), kinds) for shared in sent_weights(weights)]
+    return reduce(DataFrame.unionByName, found) if found else counts.sparkSession.createDataFrame([], kinds)
+
+
+def with_zeros(found: DataFrame, queries: DataFrame, counts: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """The k best of found (query_id, key, score), where the k smallest keys have at least the score 0 in each list; no others can enter with it."""
+    least = [r[0] for r in counts.select(key).orderBy(key).limit(k).collect()]
+    every = F.explode(F.array(*(F.lit(v) for v in least)).cast(f"array<{counts.schema[key].dataType.simpleString()}>"))
+    zeros = queries.select("query_id", every.alias(key)).distinct().withColumn("zero", F.lit(True))
+    both = found.select("query_id", key, "score").join(zeros, ["query_id", key], "full_outer")
+    return top(both.select("query_id", key, F.coalesce("score", F.lit(0.0)).alias("score")), k, key)
 
-    vectors: doc_id, embedding; queries: query_id, embedding. Both are packed into blocks of at
-    most `block`. Each block of queries meets each block of vectors, in up to `cells` groups of
-    these, and leaves the k best of each query only.
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score (six places), rank. queries: query_id, text; repeated query tokens count each time.
+
+    The documents' terms are counted once and kept as a table. The queries' terms and weights
+    go to the tasks, which score their documents and keep k for each query. Documents
+    without a query's terms have the score 0 and, smallest key first, fill lists of fewer than k.
     """
-    kind = "{0}_no bigint, dim int, {0}_ids binary, {0}_vectors binary"
-    v = vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding").mapInArrow(_packed("doc_id", "embedding", block, "v"), kind.format("v"))
-    q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").mapInArrow(_packed("query_id", "embedding", block, "q"), kind.format("q"))
-    v = v.withColumn("cell", F.pmod(F.xxhash64("v_no"), F.lit(cells)))
-    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
-    return top(v.join(q, ["cell", "dim"]).mapInArrow(_best_products(k), "query_id bigint, doc_id bigint, score double"), k)
+    counts = kept(term_counts(docs, key), "terms")
+    n, mean_dl = counts.agg(F.count("*"), F.avg("dl")).first()
+    df = kept(counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    mean = df.agg(F.avg(raw_idf(n))).first()[0] or 0.0
+    weights = asked_terms(queries).join(df, "term").select("query_id", "term", (F.col("qtf") * idf_of(n, F.lit(mean))).alias("weight"))
+    return with_zeros(score_counts(counts, weights, k, float(mean_dl or 1.0), key), queries, counts, k, key)
+
+
+def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 FUSIONS = {
@@ -191,13 +283,13 @@ def _kept(rows: DataFrame, n: int, *order) -> DataFrame:
 
 
 def preserve_primary(primary: DataFrame, merged: DataFrame, preserve_n: int, keep_n: int) -> DataFrame:
-    """query_id, doc_id, rank: the first preserve_n of the primary list, then the merged list, then the rest of the primary."""
-    p = primary.select("query_id", "doc_id", F.col("rank").alias("p"))
-    m = merged.select("query_id", "doc_id", F.col("rank").alias("m"))
+    """query_id, doc_id, score, rank: the first preserve_n of the primary list, then the merged list, then the rest of the primary; scores are the merged list's where it has a row."""
+    p = primary.select("query_id", "doc_id", F.col("rank").alias("p"), F.col("score").alias("own"))
+    m = merged.select("query_id", "doc_id", F.col("rank").alias("m"), F.col("score").alias("score"))
     tier = F.when(F.col("p") <= preserve_n, 0).when(F.col("m").isNotNull(), 1).otherwise(2)
     place = F.when(tier == 1, F.col("m")).otherwise(F.col("p"))
     both = p.join(m, ["query_id", "doc_id"], "full_outer").withColumn("tier", tier).withColumn("place", place)
-    return _kept(both, keep_n, "tier", "place", "doc_id").select("query_id", "doc_id", "rank")
+    return _kept(both, keep_n, "tier", "place", "doc_id").select("query_id", "doc_id", F.coalesce("score", "own").alias("score"), "rank")
 
 
 def diversify(ranked: DataFrame, group: str, cap: int, k: int) -> DataFrame:

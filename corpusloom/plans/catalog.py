@@ -9,8 +9,11 @@ from ..functions import answers as A
 from ..functions import prompts as P
 from ..functions import questions as Q
 from ..functions import text as T
-from ..operators import corpus, mining, retrieval, training
+from ..operators import answering, corpus, mining, retrieval, training
+from ..operators.sparse_index import SparseIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import crawl, files, html
+from ..sources.tables import kept, new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -243,7 +246,7 @@ def merge_multi_query(spark, folder):
   FROM s FULL JOIN mg ON s.query_id = mg.query_id AND s.doc_id = mg.doc_id)
 SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 1 THEN m ELSE p END, doc_id) AS INTEGER) AS rank FROM t QUALIFY rank <= 20""")
 def preserve_primary(spark, folder):
-    return retrieval.preserve_primary(*_two_lists(spark, folder), 3, 20)
+    return retrieval.preserve_primary(*_two_lists(spark, folder), 3, 20).drop("score")
 
 
 @query(f"""WITH {_BM25}, s AS {_top("bm", 30)}, g AS (SELECT s.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS o FROM s JOIN documents USING (doc_id))
@@ -549,3 +552,123 @@ def job_filter(spark, folder):
     jobs = documents(spark, folder).select(F.col("source").alias("name"), F.col("lang").alias("group")).distinct()
     least = jobs.agg(F.min("name")).first()[0]
     return crawl.filter_jobs(jobs, groups=["EN", "de"], exclude=[least.upper()])
+
+
+_Q_WS = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+_Q_TERMS = _TERMS.replace("b.text", "q")
+_VARIANTS = rf"""asked AS (SELECT item_id AS query_id, text, {_Q_WS} AS q FROM benchmark),
+stems AS (SELECT *, trim(regexp_replace(q, '^(?i)(what|when|where|who|which|how many|how much)\s+(is|was|are|were|did|does|do)?\s*', ''), ' ?') AS stem, {_Q_TERMS} AS terms,
+  list_filter(regexp_extract_all(regexp_replace(q, '[^\x00-\x7F\pP\pS\pZ\pM\pC]', '_', 'g'), '\b(?:[A-Z][A-Za-z0-9&.\-'']*(?:\s+[A-Z][A-Za-z0-9&.\-'']*){{0,6}})\b'), lambda p: NOT lower(p) IN ('what', 'when', 'where', 'who', 'which', 'how')) AS phrases FROM asked),
+augmented AS (SELECT query_id, list_filter(list_concat([stem], phrases, CASE WHEN len(terms) >= 2 THEN [array_to_string(terms[1:10], ' ')] ELSE [] END), lambda v: v <> '' AND lower(v) <> lower(q)) AS v FROM stems),
+rewritten AS (SELECT query_id, list_filter([CASE WHEN starts_with(lower(q), 'when was ') THEN 'in what year was ' || substr(q, 10) WHEN starts_with(lower(q), 'when did ') THEN 'in what year did ' || substr(q, 10) WHEN starts_with(lower(q), 'where is ') THEN 'what is the location of ' || substr(q, 10) END,
+  CASE WHEN len(terms) >= 2 THEN array_to_string(terms[1:8], ' ') END], lambda v: v IS NOT NULL AND lower(v) <> lower(q)) AS v FROM stems),
+each AS (SELECT query_id, kind, i, v FROM (SELECT query_id, 1 AS kind, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS v FROM augmented UNION ALL SELECT query_id, 2, unnest(range(1, len(v) + 1)), unnest(v) FROM rewritten)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY i) AS o FROM (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY query_id, kind, lower(v) ORDER BY i) = 1) QUALIFY o <= 2),
+listed AS (SELECT query_id, 0 AS list_no, 'original_query' AS query_variant, text FROM asked
+  UNION ALL SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY kind, o), 'augmented_query:' || v, v FROM (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY query_id, lower(v) ORDER BY kind, o) = 1))"""
+
+
+@query(f"WITH {_VARIANTS} SELECT query_id, CAST(list_no AS INTEGER) AS list_no, query_variant, text FROM listed")
+def query_variants(spark, folder):
+    return answering.variants(benchmark_queries(spark, folder).withColumnRenamed("text", "question"))
+
+
+def _chunks(spark, folder) -> DataFrame:
+    """Chunks whose document's language stands for a title and whose source for an address."""
+    docs = documents(spark, folder)
+    names = docs.select("doc_id", F.col("lang").alias("title"), F.col("source").alias("source_url"))
+    return kept(corpus.fixed_chunks(docs).join(names, "doc_id").withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index")), "chunks")
+
+
+def _answers(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = _chunks(spark, folder)
+    asked = benchmark_queries(spark, folder).withColumnRenamed("text", "question")
+    search = answering.search_in(chunks.select(F.col("chunk_id").alias("doc_id"), "text"))
+    return chunks, asked, answering.answer_ranking(chunks, asked, search)
+
+
+_CHUNK_TOKENS = _TOKENS.replace("coalesce(text, '')", "text")
+_ANSWERS = f"""WITH {_VARIANTS},
+pieces AS MATERIALIZED (SELECT doc_id || ':' || chunk_index AS chunk_id, doc_id, chunk_index, text, lang, source FROM ({_fixed_sql(250, 50, 20)}) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)),
+tok AS MATERIALIZED (SELECT chunk_id, {_CHUNK_TOKENS} AS t FROM pieces),
+post AS MATERIALIZED (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+raw AS (SELECT term, ln((SELECT count(*) FROM pieces) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS r FROM post GROUP BY term),
+idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+words AS (SELECT query_id, list_no, term, count(*) AS qtf FROM (SELECT query_id, list_no, unnest({_TOKENS}) AS term FROM listed) GROUP BY ALL),
+found AS (SELECT query_id, list_no, chunk_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avg(len(t)) FROM tok)))), 6) AS score FROM post JOIN idf USING (term) JOIN words USING (term) GROUP BY ALL),
+filled AS (SELECT * FROM found UNION ALL SELECT query_id, list_no, chunk_id, 0.0 FROM listed, (SELECT chunk_id FROM pieces ORDER BY chunk_id LIMIT 10) h WHERE NOT EXISTS (SELECT 1 FROM found x WHERE x.query_id = listed.query_id AND x.list_no = listed.list_no AND x.chunk_id = h.chunk_id)),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, list_no ORDER BY score DESC, chunk_id) AS rank FROM filled QUALIFY rank <= 10),
+votes AS (SELECT query_id, chunk_id, max(score) AS best, count(*) AS votes, min(list_no * 1000 + rank) AS seen FROM ranked GROUP BY ALL),
+merged AS (SELECT query_id, chunk_id, round(best + 0.002::DOUBLE * least(3, votes - 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(best + 0.002::DOUBLE * least(3, votes - 1), 6) DESC, seen) AS m FROM votes QUALIFY m <= 10),
+own AS (SELECT query_id, chunk_id, score, rank AS p FROM ranked WHERE list_no = 0),
+tiers AS (SELECT coalesce(o.query_id, m.query_id) AS query_id, coalesce(o.chunk_id, m.chunk_id) AS chunk_id, coalesce(m.score, o.score) AS score, p, m, CASE WHEN p <= 3 THEN 0 WHEN m IS NOT NULL THEN 1 ELSE 2 END AS tier FROM own o FULL JOIN merged m ON o.query_id = m.query_id AND o.chunk_id = m.chunk_id),
+preserved AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 1 THEN m ELSE p END, chunk_id) AS rank FROM tiers QUALIFY rank <= 10),
+hits AS (SELECT r.query_id, chunk_id, doc_id, chunk_index, c.text, lang, source, r.score, rank, s.terms, lower(lang) AS ti, lower(source) AS su, lower(substr(c.text, 1, 1200)) AS tx, lower(lang || ' ' || source || ' ') AS tu FROM preserved r JOIN pieces c USING (chunk_id) JOIN stems s ON s.query_id = r.query_id),
+adjusted AS (SELECT *, CASE WHEN len(terms) = 0 THEN 0.0 ELSE round(least(0.24::DOUBLE, 0.06::DOUBLE * len(list_filter(terms, lambda t: contains(ti, t)))) + least(0.12::DOUBLE, 0.03::DOUBLE * len(list_filter(terms, lambda t: contains(su, t))))
+  + least(0.12::DOUBLE, 0.015::DOUBLE * len(list_filter(terms, lambda t: contains(tx, t)))) - CASE WHEN {_HINTS} THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END, 6) END AS adj FROM hits),
+shaped AS (SELECT query_id, chunk_id, doc_id, chunk_index, text, lang, source, round(score + adj, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score + adj, 6) DESC, rank) AS rank FROM adjusted),
+grouped AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) > 2 AS over FROM shaped),
+answers AS MATERIALIZED (SELECT query_id, chunk_id, doc_id, chunk_index, text, lang, source, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY over, rank) AS INTEGER) AS place FROM grouped QUALIFY place <= 10)"""
+
+
+@query(f"{_ANSWERS} SELECT query_id, chunk_id, score, place AS rank FROM answers")
+def answer_ranking(spark, folder):
+    """Questions, their variants, merged, shaped and diversified lists of chunks."""
+    return _answers(spark, folder)[2].select("query_id", "chunk_id", "score", "rank")
+
+
+_CONTEXTS = rf"""{_ANSWERS},
+parents AS (SELECT query_id, doc_id, max(score) AS best, min(place) AS seen FROM answers GROUP BY ALL HAVING count(*) >= 2),
+wanted AS (SELECT DISTINCT a.query_id, a.doc_id, chunk_index + d AS chunk_index FROM answers a JOIN parents USING (query_id, doc_id), (SELECT unnest([-1, 0, 1]) AS d)),
+wholes AS (SELECT w.query_id, w.doc_id, min(w.chunk_index) AS a, max(w.chunk_index) AS b, trim(regexp_replace(string_agg(text, ' ' ORDER BY w.chunk_index), '\s+', ' ', 'g')) AS t FROM wanted w JOIN pieces p ON p.doc_id = w.doc_id AND p.chunk_index = w.chunk_index GROUP BY ALL),
+cut AS (SELECT query_id, doc_id, a, b, CASE WHEN length(t) > 2400 THEN regexp_replace(substr(t, 1, 2400), ' [^ ]*$', '') ELSE t END AS text, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, seen) AS place FROM wholes JOIN parents USING (query_id, doc_id) QUALIFY place <= 3),
+contexts AS (SELECT query_id, CAST(place AS INTEGER) AS place, doc_id, CAST(a AS INTEGER) AS first_chunk, CAST(b AS INTEGER) AS last_chunk, text FROM cut
+  UNION ALL SELECT query_id, place, doc_id, chunk_index, chunk_index, text FROM answers WHERE query_id NOT IN (SELECT query_id FROM cut))"""
+
+
+@query(f"{_CONTEXTS} SELECT * FROM contexts")
+def answer_contexts(spark, folder):
+    chunks, _, ranked = _answers(spark, folder)
+    return answering.answer_contexts(chunks, ranked)
+
+
+@query(f"""{_CONTEXTS},
+rooms AS (SELECT c.*, lang, source, 5000 - coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM contexts c JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)),
+blocks AS (SELECT query_id, string_agg('[' || place || '] | ' || lang || ' | ' || source || chr(10) || substr(text, 1, CAST(room AS INTEGER)), chr(10) || chr(10) ORDER BY place) AS block FROM rooms WHERE room > 0 GROUP BY query_id)
+SELECT query_id, 'Question: ' || text || E'\n\nContext:\n' || block || E'\n\nAnswer:' AS user FROM blocks JOIN asked USING (query_id)""")
+def answer_requests(spark, folder):
+    chunks, asked, ranked = _answers(spark, folder)
+    about = documents(spark, folder).select("doc_id", F.col("lang").alias("title"), F.col("source").alias("source_url"))
+    return answering.answer_requests(asked, answering.answer_contexts(chunks, ranked), about).select("query_id", "user")
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM {_top('bm', 10)}")
+def stored_bm25_topk(spark, folder):
+    """An index is built from half of the documents, written, opened again, and given the rest and what it has to lose; its search is that of all documents."""
+    docs, path = documents(spark, folder), new_path(spark, "sparse-index")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    extra = docs.where(~half).select((-1 - F.col("doc_id")).alias("doc_id"), "text")  # to be removed again
+    stale = docs.where(~half).select("doc_id", F.lit("an older text of the document").alias("text"))  # to be replaced
+    SparseIndex(spark, path).add(docs.where(half).unionByName(extra.unionByName(stale), allowMissingColumns=True))
+    SparseIndex(spark, path).add(docs.where(~half))
+    SparseIndex(spark, path).remove(extra)
+    return SparseIndex(spark, path).search(benchmark_queries(spark, folder))
+
+
+@query(f"WITH {_DENSE_SQL} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM {_top('dn', 10)}")
+def stored_dense_topk(spark, folder):
+    """Vectors are added to an index in two batches."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    held = vectors.join(documents(spark, folder).select("doc_id"), "doc_id", "left_semi")
+    asked = vectors.join(table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), "embedding")
+    path, half = new_path(spark, "vector-index"), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    VectorIndex(spark, path).add(held.where(half))
+    return VectorIndex(spark, path).add(held.where(~half)).search(asked)
+
+
+@query(_SIDES)
+def stored_consistency(spark, folder):
+    """Keys of a stored index of vectors against the documents."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    index = VectorIndex(spark, new_path(spark, "vector-index")).add(vectors)
+    return files.consistency(index.keys(), documents(spark, folder), "doc_id")
