@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import questions as Q
 from . import text as T
 
-# fixed values: openings, separators, quotes, years and dates of answers
+# fixed values: openings, separators, quotes, years, dates and parentheses of answers
 OPENINGS = ("Answer:", "The answer is", "Based on the context,", "Based on the provided context,", "According to the context,", "According to the provided context,")
 SEPARATORS = (" - ", " — ", " – ", " : ", ", because ", ", which ", ", who ", ", where ", ", and ")
 UNKNOWN = ("unknown.", "unknown", "not found", "not provided", "insufficient information")
 QUOTES = "[\"'“”‘’`]+"
 YEAR = r"\b(1[0-9]{3}|20[0-9]{2})\b"
-DATE = r"(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+\d{1,2},?\s+\d{4}\b"
-
+DATE = r"(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+\d{1,2},?\s+\d{4}\b"
+PARENTHETICAL = r"^(.*?)\s*\((.*?)\)\s*$"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+let = T.let
 
 
 def unquote(c) -> Column:
@@ -48,8 +44,7 @@ def collapse_aliases(c: Column) -> Column:
 
 def collapse_parenthetical(c: Column) -> Column:
     """`left (inside)`: the one that the other contains, if one does."""
-    form = r"^(.*?)\s*\((.*?)\)\s*$"
-    sides = F.struct(unquote(F.regexp_extract(c, form, 1)).alias("l"), unquote(F.regexp_extract(c, form, 2)).alias("r"))
+    sides = F.struct(unquote(F.regexp_extract(c, PARENTHETICAL, 1)).alias("l"), unquote(F.regexp_extract(c, PARENTHETICAL, 2)).alias("r"))
     inside = lambda a, b: F.contains(F.lower(b), F.lower(a))
     return let(sides, lambda s: F.when((s["l"] == "") | (s["r"] == ""), c).when(inside(s["l"], s["r"]), s["l"]).when(inside(s["r"], s["l"]), s["r"]).otherwise(c))
 

@@ -29,10 +29,15 @@ def answer_whole(question: Column, context: Column, subject: str = "the given do
     return F.concat(F.lit(answer_system(subject) + "\n\n"), answer_user(question, context))
 
 
+def passage_system() -> str:
+    return "Write passages to search with: short, of facts, with names, dates and places.\nName no sources, and express no doubt."
+
+
 def passage_user(question: Column) -> Column:
     """A request for a passage to search with."""
     return F.concat(F.lit("Write a short factual passage that may answer the question, in one or two sentences.\n\nQuestion: "), F.coalesce(question, F.lit("")), F.lit("\nPassage:"))
 
 
 def training(question: Column, subject: str = "the given documents") -> Column:
+    """What a model is trained to go on from; the wording is a fixed value, but for the subject."""
     return F.concat(F.lit(f"You are answering factual questions about {subject}.\nAnswer directly and concisely.\n\nQuestion: "), F.coalesce(question, F.lit("")), F.lit("\nAnswer:"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 import unicodedata
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .patterns import MANY, contains_any
+
 # fixed values: words that query terms leave out
 STOPWORDS = (
     "what", "which", "when", "where", "who", "whom", "whose", "that", "this", "with", "from", "about", "into", "after", "before",
@@ -18,6 +22,7 @@ STOPWORDS = (
 )
 
 _TOKEN = re.compile("[a-z0-9]+")
+_PLAIN = re.compile(r"[A-Za-z0-9 _/:;,'\"<>=!@#%&~`-]+")
 
 
 def strip(c) -> Column:
@@ -115,14 +120,22 @@ def repeat_line_ratio(c) -> Column:
 
 
 def matches_any(c, patterns) -> Column:
-    """Whether one of the patterns is found, in any case of letters; those that aren't valid are left out."""
-    found = F.lit(False)
+    """Whether one of the patterns is found, in any case of letters; those that aren't valid are left out.
+
+    Patterns that are plain words are looked for together, whatever their number.
+    """
+    text, plain, others = F.coalesce(c, F.lit("")), [], []
     for p in patterns:
         try:
             re.compile(p)
         except re.error:
             continue
-        found = found | F.coalesce(c, F.lit("")).rlike(f"(?i){p}")
+        (plain if _PLAIN.fullmatch(p) else others).append(p)
+    if len(plain) < MANY:
+        plain, others = [], plain + others
+    found = contains_any(F.lower(text), [p.lower() for p in plain]) if plain else F.lit(False)
+    for p in others:
+        found = found | text.rlike(f"(?i){p}")
     return found
 
 
@@ -169,8 +182,11 @@ def passes_filters(c, prefixes=(), substrings=(), deny_substrings=(), deny_patte
     return ok
 
 
-# fixed values: file extensions of content types
-EXTENSIONS = {"text/html": ".html", "application/pdf": ".pdf", "text/plain": ".txt", "text/css": ".css", "text/csv": ".csv", "text/xml": ".xml", "application/json": ".json", "application/zip": ".zip", "image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/svg+xml": ".svg"}
+@cache
+def extensions() -> dict[str, str]:
+    """File extension of each content type that Python's own table has."""
+    known = mimetypes.MimeTypes()
+    return {kind: known.guess_extension(kind) for kind in sorted(set(known.types_map[True].values()))}
 
 
 def guess_extension(url, content_type) -> Column:
@@ -178,7 +194,7 @@ def guess_extension(url, content_type) -> Column:
     mime = F.lower(F.trim(F.element_at(F.split(F.coalesce(content_type, F.lit("")), ";"), 1)))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     own = F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^/.]+)$", 1))
-    known = F.create_map(*(F.lit(v) for pair in EXTENSIONS.items() for v in pair))
+    known = F.create_map(*(F.lit(v) for pair in extensions().items() for v in pair))
     return (
         F.when(mime.isin("text/html"), ".html")
         .when((mime == "application/pdf") | F.endswith(F.lower(F.coalesce(url, F.lit(""))), F.lit(".pdf")), ".pdf")

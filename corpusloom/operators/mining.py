@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..functions.patterns import contains_any
 
-# fixed values: parts of answers and entities that aren't used
+# fixed values: parts of answers and entities that aren't used, paths of scraped pages, and the patterns of sentences that answer a question
 BAD_ANSWERS = ("click here", "read more", "learn more", "copyright", "all rights reserved")
 BAD_ENTITIES = ("blog", "insider", "guide", "visit pittsburgh", "wikipedia", "about us", "things to do", "best ", "top ", "free things", "contact us", "privacy", "terms", "cookie", "site map", "sitemap", "index")
 SCRAPED_PATHS = ("data/raw/", "data-raw/")
@@ -50,7 +51,7 @@ def is_scraped(path) -> Column:
 
 
 def _holds(c, parts) -> Column:
-    return F.exists(F.array(*(F.lit(p) for p in parts)), lambda p: F.contains(F.lower(c), p))
+    return contains_any(F.lower(c), parts)
 
 
 def good_answer(c) -> Column:

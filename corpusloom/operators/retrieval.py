@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.patterns import contains_any
 from ..sources.tables import kept
 from .vector_index import dense_topk
 
@@ -339,7 +340,7 @@ def shape_scores(ranked: DataFrame, question: str = "question") -> DataFrame:
         + F.least(F.lit(0.12), 0.015 * hits(lambda t: F.contains(F.substring("_text", 1, 1200), t)))
     )
     names = F.concat_ws(" ", "_title", "_source_url", "_source_path")
-    listed = F.exists(F.array(*(F.lit(h) for h in LIST_HINTS)), lambda h: F.contains(names, h))
+    listed = contains_any(names, LIST_HINTS)
     rows = rows.withColumn("shape_adj", F.when(F.size("_terms") == 0, 0.0).otherwise(F.round(boost - F.when(listed, 0.08).otherwise(0.0), 6)))
     rows = rows.withColumn("pre_shape_score", F.col("score")).withColumn("score", F.round(F.col("score") + F.col("shape_adj"), 6)).withColumnRenamed("rank", "_rank")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_rank")

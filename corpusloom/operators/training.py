@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import numbered
 
 IGNORED = -100
 
@@ -16,20 +17,43 @@ def join_references(questions: DataFrame, references: DataFrame) -> DataFrame:
     questions: ord, question, of which empty ones aren't counted; references: key, answer.
     """
     rows = questions.select("ord", T.strip(F.col("question")).alias("question")).where("question <> ''")
-    numbered = rows.select(F.row_number().over(Window.orderBy("ord")).alias("line"), "question")
+    lines = numbered(rows, "ord").select(F.col("line").cast("int").alias("line"), "question")
     answers = references.select(F.col("key").cast("string").alias("key"), T.strip(F.col("answer")).alias("answer")).where("answer <> ''")
-    return numbered.join(answers, F.col("line").cast("string") == F.col("key")).select("line", "question", "answer")
+    return lines.join(answers, F.col("line").cast("string") == F.col("key")).select("line", "question", "answer")
+
+
+def nth_smallest(rows: DataFrame, n: int) -> tuple[int, int]:
+    """The n-th smallest (from 1) of a bigint column `h`, and how many rows of that value are among the n smallest.
+
+    Found digit by digit, of 16 bits each, by counts of at most 2**16 groups; no row is sorted or gathered.
+    """
+    known, value = F.lit(True), 0
+    for shift in (48, 32, 16, 0):
+        digit = F.shiftright("h", shift)  # the first digit has the sign
+        digit = digit if shift == 48 else digit.bitwiseAND(F.lit(0xFFFF))
+        for d, count in sorted(rows.where(known).groupBy(digit.alias("d")).count().collect()):
+            if n <= count:
+                break
+            n -= count
+        value = d if shift == 48 else (value << 16) + d
+        known = F.shiftright("h", shift) == value
+    return value, n
 
 
 def split_rows(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
-    """Rows with `eval`: true for floor(n * ratio) of them, ratio held to 0 to 0.5, those of the smallest hash of seed and key."""
+    """Rows with `eval`: true for floor(n * ratio) of them, ratio held to 0 to 0.5, those of the smallest hash of seed and key; rows of one key stay together."""
     ratio = min(0.5, max(0.0, ratio))
-    ordered = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
     n = int(rows.count() * ratio)
-    # the hash that n rows don't exceed, found on one narrow sorted column
-    cut = ordered.select("_h", key).orderBy("_h", key).limit(n).agg(F.max(F.struct("_h", key)).alias("m")).first()["m"] if n else None
-    chosen = F.lit(False) if cut is None else (F.col("_h") < cut["_h"]) | ((F.col("_h") == cut["_h"]) & (F.col(key) <= cut[key]))
-    return ordered.withColumn("eval", chosen).drop("_h")
+    if not n:
+        return rows.withColumn("eval", F.lit(False))
+    value, left = nth_smallest(hashed.select(F.col("_h").alias("h")), n)
+    chosen = F.col("_h") < value
+    for k, count in sorted((tuple(r) for r in hashed.where(F.col("_h") == value).groupBy(key).count().collect()), key=lambda r: r[0]):  # keys of one hash
+        if left <= 0:
+            break
+        chosen, left = chosen | ((F.col("_h") == value) & F.col(key).eqNullSafe(F.lit(k))), left - count
+    return hashed.withColumn("eval", chosen).drop("_h")
 
 
 def mask_prompt(rows: DataFrame, ids: str = "ids", prompt_len: str = "prompt_len") -> DataFrame:

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import patterns
 from ..functions import prompts as P
 from ..functions import questions as Q
 from ..functions import text as T
 from ..operators import answering, corpus, mining, retrieval, training
 from ..operators.sparse_index import SparseIndex
 from ..operators.vector_index import VectorIndex
-from ..sources import crawl, files, html
+from ..sources import crawl, file_source, files, html
 from ..sources.tables import kept, new_path
+from ..streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -339,11 +341,12 @@ visited AS (SELECT url, min(depth) AS depth FROM reach GROUP BY url),
 crawled AS (SELECT url, CAST(depth AS INTEGER) AS depth, CASE WHEN url IN (SELECT url FROM known) THEN 'ok' ELSE 'error' END AS status FROM visited)"""
 
 
-def _crawled(spark, folder) -> DataFrame:
+def _crawled(spark, folder, kind=None, **rules) -> DataFrame:
     pages = table(spark, folder, "pages")
     web = pages.select("page_id", "url").join(crawl.links(pages), "page_id").select("url", "place", "href")
     starts = pages.groupBy(T.host(F.col("url"))).agg(F.min("url").alias("url"), F.min("page_id").alias("place"))  # one page of each host
-    return crawl.crawl(pages, web, starts, 4)
+    pages = pages if kind is None else pages.withColumn("content_type", kind)
+    return crawl.crawl(pages, web, starts, 4, **rules)
 
 
 @query(f"{_CRAWLED} SELECT * FROM crawled")
@@ -351,13 +354,40 @@ def crawl_bfs(spark, folder):
     return _crawled(spark, folder).select("url", "depth", "status")
 
 
+_KIND = "CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END"
+
+
+@query(_CRAWLED[: _CRAWLED.index("known AS")] + f"""known AS (SELECT CANON AS url, min({_KIND}) AS kind FROM pages GROUP BY ALL),
+reach AS (SELECT DISTINCT {_canonical_sql("u")} AS url, 0 AS depth FROM (SELECT min(url) AS u FROM pages GROUP BY lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)))
+  UNION SELECT web.url, depth + 1 FROM reach JOIN known USING (url) JOIN web ON source = reach.url WHERE depth < 4 AND contains(kind, 'text/html'))
+SELECT url, CAST(min(depth) AS INTEGER) AS depth, CASE WHEN any_value(kind) IS NULL THEN 'error' WHEN contains(any_value(kind), 'text/html') OR contains(any_value(kind), 'application/pdf') THEN 'ok' ELSE 'skipped' END AS status,
+  CASE WHEN contains(any_value(kind), 'text/html') THEN 'html' WHEN contains(any_value(kind), 'application/pdf') THEN 'pdf' END AS resource_type FROM reach LEFT JOIN known USING (url) GROUP BY url""".replace("CANON", _canonical_sql("url")))
+def crawl_kinds(spark, folder):
+    """A crawl in which a fifth of the pages are images, and a fifth PDF files, whose links aren't followed."""
+    kind = F.when(F.col("page_id") % 5 == 0, "image/png").when(F.col("page_id") % 5 == 1, "application/pdf").otherwise("text/html; charset=utf-8")
+    return _crawled(spark, folder, kind, download_pdfs=True).select("url", "depth", "status", "resource_type")
+
+
 @query(f"{_CRAWLED} SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'ok') AS html, CAST(0 AS BIGINT) AS pdf, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (status = 'error') AS errors FROM crawled")
 def crawl_summary(spark, folder):
     return crawl.summary(_crawled(spark, folder))
 
 
-@query()
+def _plain_sql(c: str) -> str:
+    """Text of markup in one line."""
+    return rf"replace(replace(trim(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '&quot;', chr(34)), '&amp;', '&')"
+
+
+_PAGES = rf"""p0 AS (SELECT page_id, url, {_plain_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+p1 AS (SELECT *, {_plain_sql("regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1)")} AS head, string_split(body, '<p>') AS parts FROM p0),
+p2 AS (SELECT *, list_filter(list_concat([head], list_transform(range(2, len(parts) + 1), lambda i: {_plain_sql("CASE WHEN starts_with(parts[i], '<b>') THEN array_to_string(parts[i:], ' ') ELSE parts[i] END")})), lambda t: length(t) > 1) AS lines,
+  list_filter(list_transform(regexp_split_to_array(body, '<[^>]*>'), lambda t: {_plain_sql("t")}), lambda t: t <> '') AS pieces FROM p1),
+page_texts AS (SELECT page_id, url, title, array_to_string(CASE WHEN len(lines) >= 5 THEN lines ELSE pieces END, chr(10)) AS text FROM p2)"""
+
+
+@query(f"WITH {_PAGES} SELECT page_id, title, text FROM page_texts")
 def html_document(spark, folder):
+    """The SQL knows what the given pages are made of: one article of a heading and paragraphs, of which those that begin in bold are never closed."""
     return table(spark, folder, "pages").select("page_id", html.html_document("html", "url").alias("d")).select("page_id", "d.title", "d.text")
 
 
@@ -394,6 +424,11 @@ def train_join(spark, folder):
     return training.join_references(asked, documents(spark, folder).select(F.col("doc_id").alias("key"), F.col("lang").alias("answer")))
 
 
+@query()
+def train_split_rows(spark, folder):
+    return training.split_rows(documents(spark, folder).select("doc_id"), "doc_id", 0.1)
+
+
 @query("SELECT i = 1 AS eval, CASE WHEN i = 1 THEN CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) ELSE count(*) - CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) END AS n FROM documents, (SELECT unnest([0, 1]) AS i) GROUP BY i")
 def train_split(spark, folder):
     return training.split_rows(documents(spark, folder).select("doc_id"), "doc_id", 0.1).groupBy("eval").agg(F.count("*").alias("n"))
@@ -460,6 +495,15 @@ def chunk_spans(spark, folder):
     return corpus.emit_chunks(docs, corpus.sentence_chunks(docs)).select("doc_id", "chunk_index", "text", "start_char", "end_char")
 
 
+@query(r"""WITH lists AS (SELECT list(w ORDER BY w) AS ws FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS w FROM benchmark))
+SELECT doc_id, CAST(len(list_filter(ws, lambda w: contains(coalesce(text, ''), w))) AS INTEGER) AS n FROM documents, lists""")
+def many_literals(spark, folder):
+    """How many of the benchmark's long words a document holds, in any place; a set of questions has thousands of words at most."""
+    found = table(spark, folder, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("w")).distinct()
+    words = sorted(r[0] for r in found.collect())
+    return documents(spark, folder).select("doc_id", F.size(patterns.literals_in(F.col("text"), words)).alias("n"))
+
+
 @query(f"""WITH {_REPEAT} SELECT doc_id, CASE WHEN regexp_matches(source, '(?i)SITE1$') THEN 'url_pattern' WHEN regexp_matches(lang, '(?i)^D') THEN 'title_pattern' WHEN regexp_matches(coalesce(text, ''), '(?i)[0-9]{{4}}-[0-9]{{2}}') THEN 'text_pattern'
   WHEN length({_DENSE}) = 0 THEN 'empty' WHEN {_ALPHA} < 0.45 THEN 'low_alpha_ratio' WHEN {_DIGIT} > 0.45 THEN 'high_digit_ratio' WHEN coalesce(ratio, 0) > 0.5 THEN 'repeat_lines' ELSE '' END AS reason FROM documents LEFT JOIN repeats USING (doc_id)""")
 def pattern_reason(spark, folder):
@@ -506,14 +550,14 @@ def distinct_variants(spark, folder):
 
 @query(f"WITH {_BM25}, s AS {_top('bm', 5)} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, v AS query_variant FROM s, (SELECT unnest(['first', 'second']) AS v)")
 def annotate_variants(spark, folder):
-    ranked = retrieval.bm25_topk(documents(spark, folder), benchmark_queries(spark, folder), 5).select("query_id", "doc_id", "rank")
+    ranked = kept(retrieval.bm25_topk(documents(spark, folder), benchmark_queries(spark, folder), 5).select("query_id", "doc_id", "rank"), "ranked")
     return retrieval.annotate(ranked, "first").unionByName(retrieval.annotate(ranked, "second"))
 
 
-@query("SELECT '{\"name\":\"x\",' || string_agg('\"' || item_id || '\":\"' || left(text, 12) || '\"', ',' ORDER BY item_id) || '}' AS json FROM benchmark WHERE NOT regexp_matches(left(text, 12), '[\"\\\\\\n\\t]')")
+@query("SELECT '{\"name\":\"x\",' || string_agg(to_json(CAST(item_id AS VARCHAR)) || ':' || to_json(text), ',' ORDER BY item_id) || '}' AS json FROM benchmark")
 def submission_json(spark, folder):
-    rows = table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.left("text", F.lit(12)).alias("answer"))
-    return files.submission(rows.where(~F.col("answer").rlike('["\\\\\n\t]')), {"name": "x"})
+    rows = table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("answer"))
+    return files.submission(rows, {"name": "x"})
 
 
 @query(f"WITH {_BM25}, s AS {_top('bm', 5)} SELECT query_id, string_agg(rank || ':' || s.doc_id || ':' || source || ':' || substr(text, 1, 300), '|' ORDER BY rank) AS trace FROM s JOIN documents USING (doc_id) GROUP BY query_id")
@@ -524,10 +568,27 @@ def trace_export(spark, folder):
     return files.traces(ranked, ["doc_id", "score", "source"]).select("query_id", F.array_join(F.transform("retrieval", row), "|").alias("trace"))
 
 
-@query()
+_MINED = """WITH w AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<title>([^<]*)', 1), '[A-Za-z]+') AS w FROM pages),
+named AS (SELECT page_id, w, CASE WHEN page_id % 3 = 0 THEN array_to_string(list_transform([w[1], w[2], 'x'], lambda t: upper(t[1]) || lower(t[2:])), ' ') ELSE w[1] || ' ' || w[2] END AS name FROM w WHERE len(w) >= 4),
+found AS (SELECT page_id, 0 AS pos, 'When was ' || name || ' founded?' AS question, CAST(1900 + page_id % 100 AS VARCHAR) AS answer FROM named
+  UNION ALL SELECT page_id, 1, 'Where is ' || name || ' located?', w[3] || ' ' || w[4] FROM named
+  UNION ALL SELECT page_id, 2, 'What is the mascot of ' || name || '?', 'the ' || w[1] FROM named
+  UNION ALL SELECT page_id, 3, 'Who founded ' || name || '?', w[4] || ' ' || w[1] FROM named),
+firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY lower(question) ORDER BY page_id, pos) = 1)
+SELECT CAST(row_number() OVER (ORDER BY page_id, pos) AS INTEGER) AS place, question, answer FROM firsts QUALIFY place <= 300"""
+
+
+@query(_MINED)
 def mine_qa(spark, folder):
-    docs = documents(spark, folder).select(F.col("doc_id").alias("ord"), "text", F.col("source").alias("title"), F.lit(None).cast("string").alias("source_url"), F.lit("data/raw/x").alias("source_path"))
-    return mining.mine(docs)
+    """Sentences with the words of a page's title; a third of the names come from an address."""
+    words = F.regexp_extract_all(F.regexp_extract("html", "<title>([^<]*)", 1), F.lit("[A-Za-z]+"), F.lit(0))
+    rows = table(spark, folder, "pages").select(F.col("page_id").alias("ord"), words.alias("w")).where(F.size("w") >= 4)
+    w = [F.get("w", F.lit(i)) for i in range(4)]
+    year = (1900 + F.col("ord") % 100).cast("string")
+    text = F.concat(F.lit("It was founded in "), year, F.lit(". It is located in "), w[2], F.lit(" "), w[3], F.lit("; not far.\n Its mascot is the "), w[0], F.lit(". Founded by "), w[3], F.lit(" "), w[0], F.lit("."))
+    title = F.when(F.col("ord") % 3 != 0, F.concat(w[0], F.lit(" "), w[1], F.lit(" - Home | Site")))
+    address = F.concat(F.lit("http://h.org/a/"), w[0], F.lit("-"), w[1], F.lit("_x.html"))
+    return mining.mine(rows.select("ord", text.alias("text"), title.alias("title"), address.alias("source_url"), F.lit("data/raw/x").alias("source_path")))
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '\[[0-9]+\]', '', 'g')), '^[ \t,;:.]+|[ \t,;:.]+$', '', 'g'), '\s+', ' ', 'g'))"
@@ -554,6 +615,81 @@ def job_filter(spark, folder):
     return crawl.filter_jobs(jobs, groups=["EN", "de"], exclude=[least.upper()])
 
 
+def _written_files(spark, folder) -> tuple[str, DataFrame]:
+    """A folder of files of the pages and documents, with some that aren't to be read, and the addresses of the pages (path, url)."""
+    root = new_path(spark, "files")
+    pages, docs = table(spark, folder, "pages"), documents(spark, folder)
+    page = F.col("page_id").cast("string")
+    html_name = F.concat(F.when(F.col("page_id") % 2 == 0, "saved/p").otherwise("p"), page, F.when(F.col("page_id") % 3 == 0, ".HTM").otherwise(".html"))
+    text_name = F.concat(F.lit("texts/d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".md"))
+    encoded = lambda c: F.encode(F.coalesce(c, F.lit("")), "UTF-8").alias("content")
+    rows = pages.select(html_name.alias("name"), encoded("html")).unionByName(docs.select(text_name.alias("name"), encoded("text")))
+    for name in (F.concat(F.lit("saved/p"), page, F.lit("_files/asset.html")), F.concat(F.lit("p"), page, F.lit("/load.php")), F.concat(F.lit("p"), page, F.lit("/image.png"))):
+        rows = rows.unionByName(pages.select(name.alias("name"), encoded("url")))
+    file_source.put_files(rows, root).write.format("noop").mode("overwrite").save()
+    return root, pages.select(html_name.alias("name"), "url")
+
+
+_FILE_NAMES = """html_files AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'saved/p' ELSE 'p' END || page_id || CASE WHEN page_id % 3 = 0 THEN '.HTM' ELSE '.html' END AS name FROM pages),
+text_files AS (SELECT doc_id, 'texts/d' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.md' END AS name FROM documents)"""
+
+
+@query(f"WITH {_FILE_NAMES} SELECT name, CAST(strlen(html) AS INTEGER) AS n_bytes FROM html_files JOIN pages USING (page_id) UNION ALL SELECT name, CAST(strlen(coalesce(text, '')) AS INTEGER) FROM text_files JOIN documents USING (doc_id)")
+def scan_files(spark, folder):
+    """Pages and documents are written as files first; assets, loaders and other kinds are left out."""
+    root, _ = _written_files(spark, folder)
+    found = file_source.read_files(spark, [root, f"{root}/not-there"])
+    return found.select(F.regexp_extract("path", r"/files-[0-9a-f]+/(.*)$", 1).alias("name"), F.length("content").alias("n_bytes"))
+
+
+@query(rf"""WITH {_PAGES}, {_FILE_NAMES}
+SELECT name, substr(sha1(url), 1, 16) AS doc_id, title, text, 'html' AS doc_type, url AS source_url FROM html_files JOIN page_texts USING (page_id)
+UNION ALL SELECT name, NULL, 'd' || doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 'text', NULL FROM text_files JOIN documents USING (doc_id)""")
+def file_documents(spark, folder):
+    """Documents of HTML, text and Markdown files; those of a known address have its hash as id, the others that of their path."""
+    root, urls = _written_files(spark, folder)
+    found = file_source.read_files(spark, [root])
+    known = urls.join(found.select("path", F.regexp_extract("path", r"/files-[0-9a-f]+/(.*)$", 1).alias("name")), "name").select("path", "url")
+    docs = files.file_documents(found, known)
+    name = F.regexp_extract("source_path", r"/files-[0-9a-f]+/(.*)$", 1).alias("name")
+    return docs.select(name, F.when(F.col("source_url").isNotNull(), F.col("doc_id")).alias("doc_id"), "title", "text", "doc_type", "source_url")
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def json_lines(spark, folder):
+    """Documents written and read as JSON Lines."""
+    path = new_path(spark, "lines")
+    files.write_lines(documents(spark, folder).select("doc_id", "text", "lang"), path)
+    return files.read_lines(spark, path, "doc_id bigint, text string, lang string").unionByName(files.read_lines(spark, f"{path}-not-there", "doc_id bigint, text string, lang string"))
+
+
+@query("""WITH numbered AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS i FROM benchmark)
+SELECT 'list' AS file, CASE WHEN item_id % 2 = 0 THEN CAST(i AS VARCHAR) ELSE 'q' || item_id END AS qid, text AS question FROM numbered UNION ALL SELECT 'map', CAST(item_id AS VARCHAR), text FROM benchmark""")
+def query_files(spark, folder):
+    """Questions written as a list of texts and objects, and as an object, then read; a query file is one text by its nature."""
+    path, items = new_path(spark, "queries"), table(spark, folder, "benchmark")
+    one = F.when(F.col("item_id") % 2 == 0, F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2)).otherwise(F.to_json(F.struct(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"))))
+    listed = items.agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", one.alias("j")))), lambda x: x["j"]), ",\n"), F.lit("]")).alias("value"))
+    mapped = items.agg(F.to_json(F.map_concat(F.create_map(F.lit("name"), F.lit("me")), F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), "text"))))).alias("value"))
+    listed.coalesce(1).write.text(f"{path}/list")
+    mapped.coalesce(1).write.text(f"{path}/map")
+    read = lambda kind: files.questions(spark.read.text(f"{path}/{kind}", wholetext=True), skip=("name",)).select(F.lit(kind).alias("file"), "qid", "question")
+    return read("list").unionByName(read("map"))
+
+
+@query(ORACLES["corpus_build"])
+def streamed_corpus(spark, folder):
+    """Documents arrive as files in two turns, of which the first also brings older texts of some that come again; ingest runs after each."""
+    arriving, path, schema = new_path(spark, "arriving"), new_path(spark, "ingested"), "doc_id bigint, text string"
+    docs = documents(spark, folder).select("doc_id", "text")
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    turns = [docs.where(~late).unionByName(docs.where(late & (F.col("doc_id") % 2 == 0)).withColumn("text", F.lit("An older text of this document, which is long enough to be kept if nothing newer came in its place at any time."))), docs.where(late)]
+    for rows in turns:
+        rows.write.mode("append").parquet(arriving)
+        ingest.ingest(spark, spark.readStream.schema(schema).parquet(arriving), path)
+    return ingest.current_corpus(spark, path, schema).select("doc_id")
+
+
 _Q_WS = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 _Q_TERMS = _TERMS.replace("b.text", "q")
 _VARIANTS = rf"""asked AS (SELECT item_id AS query_id, text, {_Q_WS} AS q FROM benchmark),

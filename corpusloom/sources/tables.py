@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -38,3 +39,17 @@ def entries(spark: SparkSession, path: str) -> list[str]:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def numbered(frame: DataFrame, *order: str, name: str = "line") -> DataFrame:
+    """Rows with their number from 1 in this order, which may be of any length.
+
+    They are sorted in ranges and numbered within them; the driver adds up the ranges' sizes.
+    """
+    spark = frame.sparkSession
+    rows = kept(frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_id", 33)  # the upper bits are the range, the lower ones the place in it
+    sizes = sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts = [(r["part"], sum(s["n"] for s in sizes[:i])) for i, r in enumerate(sizes)]
+    known = F.broadcast(spark.createDataFrame(starts, "_part bigint, _before bigint"))  # two numbers for each range
+    return rows.join(known, part == F.col("_part")).select(*frame.columns, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
