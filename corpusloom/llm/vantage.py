@@ -8,8 +8,8 @@ one that bound is scaled up, which prunes more and may lose neighbours; factor
 one is exact. All queries of a block go down a tree together.
 
 Every vector is in one shard's tree. Queries are gathered in blocks of about
-`block`, and each task searches some shards for one block, so nothing passes
-through the driver. Vectors that are null, empty, zero or hold null or non-finite
+`block`, and each task searches its shards for all blocks that are sent to it; the driver holds
+one slice of them at a time, of a fixed size. Vectors that are null, empty, zero or hold null or non-finite
 components are neither queries nor candidates. A row of the query's own id is not
 its candidate; of several vectors of such an id the smallest, by components, is the
 query. Queries are compared with vectors of their own dimension only. Ties go to
@@ -19,6 +19,7 @@ the smaller id. Empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -183,48 +184,47 @@ def _gathered(key: str, column: str):
     return run
 
 
-def _search(k: int, factor: float):
-    """The nearest of each query in the shards that follow each other with its block."""
-
-    def found(state: Nearest) -> pa.RecordBatch:
-        q, place = np.nonzero(np.isfinite(state.d))
-        return pa.RecordBatch.from_arrays([pa.array(state.ids[q]), pa.array(state.found[q, place]), pa.array(state.d[q, place])], names=["query_id", "vec_id", "score"])
+def _search(shared, k: int, factor: float):
+    """The nearest of each query among the shards of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, of = None, None
+        states: dict[int, list[Nearest]] = {}
+        for dim, ids, vectors in shared.value:
+            states.setdefault(dim, []).append(Nearest(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim), k))
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if of != (row["block"], row["dim"]):
-                    if state:
-                        yield found(state)
-                    of = row["block"], row["dim"]
-                    state = Nearest(np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"], np.float64).reshape(-1, row["dim"]), k)
-                state.search(Tree.of(row), factor)
-        if state:
-            yield found(state)
+                tree = Tree.of(row)
+                for state in states.get(row["dim"], []):
+                    state.search(tree, factor)
+        for own in states.values():
+            for state in own:
+                q, place = np.nonzero(np.isfinite(state.d))
+                yield pa.RecordBatch.from_arrays([pa.array(state.ids[q]), pa.array(state.found[q, place]), pa.array(state.d[q, place])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, factor: float = 1.0, shard: int = 4096, block: int = 8192, shards_per_task: int = 2, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, factor: float = 1.0, shard: int = 4096, block: int = 8192, sent: int = 64 << 20, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`.
 
-    A task takes about `shards_per_task` shards and one block of queries, so shards are
-    copied once for each block, and blocks once for each group of shards.
+    Shards stay where they are. The queries are sent to all tasks in slices of about
+    `sent` bytes, searched one after the other; a task leaves k rows of each query.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("bigint").alias(key), column)
     index = keep(rows.mapInArrow(_build(key, column, shard), _SHARD), "trees")
     fit = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(column, lambda x: x != 0)
     chosen = keep(rows.where((F.col(key) % every == 0) & fit).groupBy(key).agg(F.min(column).alias(column)), "queries")
     blocks = max(1, -(-chosen.count() // block))
-    groups = max(1, -(-index.count() // shards_per_task))
     numbered = chosen.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     gathered = keep(numbered.repartition(blocks, "block").mapInArrow(_gathered(key, column), "block int, dim int, query_ids binary, query_vectors binary"), "blocks")
-    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    cells = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).select("*", every_block).join(gathered.select("*", every_group), ["group", "block", "dim"])
-    spread = cells.repartition(groups * blocks, "group", "block").sortWithinPartitions("block", "dim")
-    found = spread.mapInArrow(_search(k, factor), "query_id bigint, vec_id bigint, score double")
+    size = gathered.agg(F.sum(F.length("query_ids") + F.length("query_vectors"))).first()[0] or 0
+    slices = max(1, -(-size // sent))
+    found = []
+    for i in range(slices):
+        some = gathered.where(F.pmod(F.xxhash64("query_ids"), F.lit(slices)) == i).select("dim", "query_ids", "query_vectors").collect()
+        shared = spark.sparkContext.broadcast([tuple(r) for r in some])
+        found.append(index.mapInArrow(_search(shared, k, factor), "query_id bigint, vec_id bigint, score double"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -157,12 +157,12 @@ def brute_neighbours(rows, every, k):
     return {(i, n + 1, j) for i, v in best.items() for n, (_, j) in enumerate(sorted((np.sqrt(((np.array(v) - np.array(w)) ** 2).sum()), j) for j, w in rows if j != i and w and len(w) == len(v))[:k])}
 
 
-@pytest.mark.parametrize("sizes", [(4096, 8192, 2), (50, 3, 2), (64, 1, 1)])
+@pytest.mark.parametrize("sizes", [(4096, 8192, 1 << 20), (50, 3, 200), (64, 1, 1)])
 def test_neighbours_in_blocks(spark, sizes):
     """Small shards and blocks, two dimensions, and an id of two vectors."""
     rng = np.random.default_rng(8)
     rows = [(i, rng.normal(size=4 if i % 7 else 3).tolist()) for i in range(400)] + [(100, [0.5, 0.25, 0.125, 1.0]), (9, None), (8, [])]
-    shard, block, per_task = sizes
+    shard, block, sent = sizes
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
-    got = vantage.nearest_neighbours(frame, k=3, every=20, shard=shard, block=block, shards_per_task=per_task).collect()
+    got = vantage.nearest_neighbours(frame, k=3, every=20, shard=shard, block=block, sent=sent).collect()
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == brute_neighbours(rows, 20, 3)
