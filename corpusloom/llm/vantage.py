@@ -220,7 +220,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, factor
     numbered = chosen.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     gathered = keep(numbered.repartition(blocks, "block").mapInArrow(_gathered(key, column), "block int, dim int, query_ids binary, query_vectors binary"), "blocks")
     size = gathered.agg(F.sum(F.length("query_ids") + F.length("query_vectors"))).first()[0] or 0
-    slices = max(1, -(-size // sent))
+    slices = max(1, min(gathered.count(), -(-size // sent)))
     found = []
     for i in range(slices):
         some = gathered.where(F.pmod(F.xxhash64("query_ids"), F.lit(slices)) == i).select("dim", "query_ids", "query_vectors").collect()
