@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,13 +90,18 @@ def parse(source: str) -> Page:
     tags, parents, depths, places, all_tokens, texts = page.tags, page.parents, page.depths, page.places, page.tokens, page.texts
     n_children = [0]
     stack, silent, block = [0], 0, 0
+    opened: Counter[str] = Counter()  # open elements by tag
+    block_at: list[int] = []  # places of open blocks in the stack
 
     def close(to: int) -> None:
         nonlocal silent, block
         while len(stack) > to:
             tag = tags[stack.pop()]
+            opened[tag] -= 1
             silent -= tag in SILENT
-            block += tag in BLOCK
+            if tag in BLOCK:
+                block += 1
+                block_at.pop()
 
     for raw, tag, slash, attributes in _pieces(source):
         if raw and not silent and not raw.isspace():
@@ -106,24 +112,19 @@ def parse(source: str) -> Page:
             continue
         is_block = tag in BLOCK
         if slash:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    close(k)
-                    break
-            else:
+            if not opened[tag]:
                 block += is_block
+                continue
+            to = len(stack) - 1
+            while tags[stack[to]] != tag:  # all these are closed, so each is passed once
+                to -= 1
+            close(to)
             continue
         if is_block:
             block += 1
             shuts = ("p",) if tag in CLOSES_P else _SHUTS.get(tag, ())
-            if shuts:
-                for k in range(len(stack) - 1, 0, -1):
-                    own = tags[stack[k]]
-                    if own in shuts:
-                        close(k)
-                        break
-                    if own in BLOCK:
-                        break
+            if block_at and tags[stack[block_at[-1]]] in shuts:  # what is shut is the innermost open block
+                close(block_at[-1])
         if tag in VOID:
             if tag == "br" and not silent:
                 texts.append((stack[-1], " ", block))
@@ -141,6 +142,9 @@ def parse(source: str) -> Page:
         all_tokens.append(tokens)
         n_children[up] += 1
         n_children.append(0)
+        opened[tag] += 1
+        if is_block:
+            block_at.append(len(stack))
         stack.append(len(tags) - 1)
         silent += tag in SILENT
     return page
