@@ -130,33 +130,45 @@ def parse_record(raw: bytes, payload: bool) -> tuple[tuple, int] | None:
     return (kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-target-uri"), page, refers, n_bytes, digest, body if payload else None), stop
 
 
+def _whole(raw: bytes) -> int:
+    """Length of the record that bytes begin with, 0 if its head isn't whole yet."""
+    block_at = raw.find(b"\r\n\r\n") + 4
+    return block_at + int(_fields(raw[:block_at])["content-length"]) if block_at >= 4 else 0
+
+
 class RecordStream:
-    """Records of archives whose pieces, cut at _NEXT, arrive in order."""
+    """Records of archives whose pieces, cut at _NEXT, arrive in order.
+
+    Once a record's head is there, its pieces are joined when they are as long as it says, however many times a payload holds _NEXT.
+    """
 
     def __init__(self, payload: bool):
-        self.payload, self.name, self.held = payload, None, []
+        self.payload, self.name, self.held, self.size, self.need = payload, None, [], 0, 0
 
     def add(self, name: str, piece: bytes) -> Iterator[tuple]:
         if name != self.name:
             yield from self.end()
-            self.name, self.held = name, [piece]
+            self.name, self.held, self.size = name, [piece], len(piece)
             return
         # a record ends where a piece does, if the piece is whole
-        yield from self._records(False)
+        if self.size >= self.need:
+            yield from self._records(False)
         self.held.append(_NEXT.encode() + piece)
+        self.size += len(self.held[-1])
 
     def _records(self, last: bool) -> Iterator[tuple]:
-        raw = b"".join(self.held)
+        raw, self.need = b"".join(self.held), 0
         while raw:
             raw = raw[4:] if raw.startswith(b"\r\n\r\n") else raw
             found = parse_record(raw, self.payload) if raw else None
             if found is None:
                 if last and raw.strip():
                     raise ValueError(f"{self.name} ends within a record")
+                self.need = _whole(raw)
                 break
             yield found[0]
             raw = raw[found[1] :]
-        self.held = [raw] if raw else []
+        self.held, self.size = [raw] if raw else [], len(raw)
 
     def end(self) -> Iterator[tuple]:
         yield from self._records(True)

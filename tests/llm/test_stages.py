@@ -24,7 +24,7 @@ def words(text):
 def test_the_subpackage_can_be_imported():
     import __spark_entry__
 
-    assert __spark_entry__.llm is not None and sum(n.startswith("op") and n[2].isdigit() for n in __spark_entry__.queries()) == 10
+    assert __spark_entry__.llm is not None and sum(n.startswith("op") and n[2].isdigit() for n in __spark_entry__.queries()) == 13
 
 
 def test_stages_keep_columns_of_any_name(spark):
