@@ -753,13 +753,22 @@ def answer_ranking(spark, folder):
     return _answers(spark, folder)[2].select("query_id", "chunk_id", "score", "rank")
 
 
-_CONTEXTS = rf"""{_ANSWERS},
-parents AS (SELECT query_id, doc_id, max(score) AS best, min(place) AS seen FROM answers GROUP BY ALL HAVING count(*) >= 2),
-wanted AS (SELECT DISTINCT a.query_id, a.doc_id, chunk_index + d AS chunk_index FROM answers a JOIN parents USING (query_id, doc_id), (SELECT unnest([-1, 0, 1]) AS d)),
+def _contexts_sql(found: str) -> str:
+    """Contexts of found chunks (query_id, chunk_id, doc_id, chunk_index, text, score, place)."""
+    return rf"""parents AS (SELECT query_id, doc_id, max(score) AS best, min(place) AS seen FROM {found} GROUP BY ALL HAVING count(*) >= 2),
+wanted AS (SELECT DISTINCT a.query_id, a.doc_id, chunk_index + d AS chunk_index FROM {found} a JOIN parents USING (query_id, doc_id), (SELECT unnest([-1, 0, 1]) AS d)),
 wholes AS (SELECT w.query_id, w.doc_id, min(w.chunk_index) AS a, max(w.chunk_index) AS b, trim(regexp_replace(string_agg(text, ' ' ORDER BY w.chunk_index), '\s+', ' ', 'g')) AS t FROM wanted w JOIN pieces p ON p.doc_id = w.doc_id AND p.chunk_index = w.chunk_index GROUP BY ALL),
 cut AS (SELECT query_id, doc_id, a, b, CASE WHEN length(t) > 2400 THEN regexp_replace(substr(t, 1, 2400), ' [^ ]*$', '') ELSE t END AS text, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, seen) AS place FROM wholes JOIN parents USING (query_id, doc_id) QUALIFY place <= 3),
 contexts AS (SELECT query_id, CAST(place AS INTEGER) AS place, doc_id, CAST(a AS INTEGER) AS first_chunk, CAST(b AS INTEGER) AS last_chunk, text FROM cut
-  UNION ALL SELECT query_id, place, doc_id, chunk_index, chunk_index, text FROM answers WHERE query_id NOT IN (SELECT query_id FROM cut))"""
+  UNION ALL SELECT query_id, CAST(place AS INTEGER), doc_id, chunk_index, chunk_index, text FROM {found} WHERE query_id NOT IN (SELECT query_id FROM cut))"""
+
+
+_CONTEXTS = f"{_ANSWERS}, {_contexts_sql('answers')}"
+_FIRST_LIST = "firsts_found AS (SELECT r.query_id, chunk_id, doc_id, chunk_index, text, r.score, rank AS place FROM ranked r JOIN pieces USING (chunk_id) WHERE list_no = 0)"
+# queries that stand above, whose SQL is made of these parts
+ORACLES["parent_merge"] = f"{_ANSWERS}, {_FIRST_LIST}, {_contexts_sql('firsts_found')} SELECT * FROM contexts"
+ORACLES["retrieval_augmentation"] = f"WITH {_VARIANTS} SELECT query_id, CAST(o - 1 AS INTEGER) AS place, v AS variant FROM firsts WHERE kind = 1"
+ORACLES["multi_query"] = f"WITH {_VARIANTS} SELECT query_id, CAST(o - 1 AS INTEGER) AS place, v AS variant FROM firsts WHERE kind = 2"
 
 
 @query(f"{_CONTEXTS} SELECT * FROM contexts")
