@@ -20,8 +20,12 @@ A seed names one partner, which may hold too little of a passage. So all runs of
 `min_words` words in the neighbourhood of repeated seeds are looked up as a
 whole too: each names the smallest document that holds all of it, and every
 word of a run of `min_words` equal words or more is found whatever documents hold
-its sentences singly. Passages with changed words are found only against the
-partners of their seeds and of such runs.
+its sentences singly. Seeds that lie in no passage so far are then compared with
+all smaller documents that hold them, one of those with the same words beside the
+seed: parity sketches of the words beside it rule out pairs that can't share
+`identity` of `min_words` words there, the rest are chained by all seeds they share
+and aligned. So a passage with changed words is found whatever documents hold its
+seeds singly, if a seed lies in `min_words` words of it of which `identity` match.
 
 In text of a period up to `window` words the seeds after the first repeat it. They
 lead to no chains, which would all begin at one place, but keep the whole text
@@ -47,6 +51,8 @@ _PASSAGE = "doc_id bigint, other_id bigint, start_word int, end_word int, other_
 _ALIGNED = _PASSAGE + ", first int, open boolean"
 #: Words beside a chain that are fetched at first; edits an extension may cross, and equal words that must follow them.
 MARGIN, SLACK, AFTER = 128, 3, 8
+#: Bits of the parity sketch of the words beside a seed, and places of one seed in a block of comparisons.
+BITS, BLOCK = 2048, 1024
 
 
 def _words(batch: pa.RecordBatch):
@@ -431,6 +437,84 @@ def _firsts(seeds: DataFrame, name: str) -> DataFrame:
     return keep(found.select("seed", F.col("f.doc_id").alias("other_id"), F.col("f.place").alias("other_place")), name)
 
 
+def parity_sketches(words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows of words a bit of each bucket: whether an odd number of its words, counted as often as they occur, is in it."""
+    key = np.sort((row.astype(np.uint64) << np.uint64(32)) | (words >> np.uint64(32)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    time = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    bucket = mix((key & np.uint64(0xFFFFFFFF)) | (time.astype(np.uint64) << np.uint64(32))) % np.uint64(BITS)
+    count = np.bincount((key >> np.uint64(32)).astype(np.int64) * BITS + bucket.astype(np.int64), minlength=n * BITS)
+    return np.packbits((count & 1).astype(np.uint8).reshape(n, BITS), axis=1)
+
+
+def _contexts(k: int, reach: int):
+    """For each seed of a document the number, the sketch and a hash of the words up to `reach` beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole, "text"):
+                data, _, starts, ends, first = _words(batch)
+                words = hash_spans(data, starts, ends)
+                spots = batch.column("spots")
+                row, flat = spots.value_parent_indices().to_numpy(), spots.flatten()
+                place = flat.field("place").to_numpy().astype(np.int64)
+                fits = np.flatnonzero(place + k <= np.diff(first)[row])  # places of another row of this id may lie beyond this one
+                for some in np.array_split(fits, len(fits) // 1000 + 1):
+                    at = first[row[some]] + place[some]
+                    low, high = np.maximum(at - reach, first[row[some]]), np.minimum(at + k + reach, first[row[some] + 1])
+                    n = high - low
+                    spot = np.repeat(np.arange(len(some)), n)
+                    where = np.arange(len(spot)) + np.repeat(low - np.cumsum(n) + n, n)
+                    near = words[where]
+                    same = np.add.reduceat(mix(near + (where - at[spot] + reach).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.cumsum(n) - n) if len(some) else near
+                    odd = parity_sketches(near, spot, len(some))
+                    own = flat.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays(
+                        [own.field("seed"), batch.column("doc_id").take(pa.array(row[some])), own.field("open"), pa.array(n.astype(np.int32)), pa.array(same.view(np.int64)), pa.array([o.tobytes() for o in odd], pa.binary())],
+                        names=["seed", "doc_id", "open", "n", "same", "odd"],
+                    )
+
+    return run
+
+
+def _near(least: int):
+    """Pairs of an open place and one of a smaller document that sketches allow `least` common words; rows come sorted by (seed, p, q)."""
+
+    def of_group(table: pa.Table, two: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        doc, n, is_open = (table.column(c).to_numpy() for c in ("doc_id", "n", "open"))
+        side = table.column("block").to_numpy() != table.column("p").to_numpy()
+        odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(doc), BITS // 64)
+        out = []
+        for r in np.flatnonzero(is_open).tolist():
+            at = np.flatnonzero((doc < doc[r]) & ((side != side[r]) | (not two)))
+            at = at[np.bitwise_count(odd[at] ^ odd[r]).sum(1, dtype=np.int64) <= n[at].astype(np.int64) + int(n[r]) - 2 * least]
+            out.append((np.full(len(at), doc[r]), doc[at]))
+        return out
+
+    def of_groups(table: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        p, q = table.column("p").to_numpy(), table.column("q").to_numpy()
+        found = [pair for a, b in zip(edges[:-1], edges[1:], strict=True) for pair in of_group(table.slice(a, b - a), p[a] != q[a])]
+        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["doc_id", "other_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            group = np.stack([held.column(c).to_numpy() for c in ("seed", "p", "q")])
+            edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist()]
+            yield of_groups(held, edges)
+            held = held.slice(edges[-1])
+        if held is not None:
+            yield of_groups(held, [0, held.num_rows])
+
+    return run
+
+
 def _by_pairs(matches: DataFrame) -> DataFrame:
     pairs = matches.where("doc_id <> other_id").select("doc_id", "other_id", "place", "other_place")
     return pairs.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "place", "other_place")
@@ -446,13 +530,16 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 8, window:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seeds = keep(docs.mapInArrow(_seeds(k, window, min_words), "seed bigint, doc_id bigint, place int, again boolean"), "seeds")
     firsts = _firsts(seeds, "firsts")
-    repeated = keep(only_marked(seeds, "seed", firsts.select("seed")).join(firsts, "seed").drop("seed"), "repeated")
+    repeated = keep(only_marked(seeds, "seed", firsts.select("seed")).join(firsts, "seed"), "repeated")
     discard(seeds)
     discard(firsts)
     chains = keep(_by_pairs(repeated.where("not again")).mapInArrow(_chains(k, gap), _CHAIN), "chains")
     equal = _equal_passages(docs, repeated, k, window, min_words)
+    found = keep(equal.unionByName(_aligned_passages(docs, chains, min_words, identity)), "found")
+    pairs = _further_pairs(docs, repeated, found, k, min_words, identity)
+    chains = keep(_by_pairs(_shared_seeds(repeated, pairs)).mapInArrow(_chains(k, gap), _CHAIN), "chains")
     discard(repeated)
-    found = equal.unionByName(_aligned_passages(docs, chains, min_words, identity))
+    found = found.unionByName(_aligned_passages(docs, chains, min_words, identity))
     order = Window.partitionBy("doc_id", "other_id").orderBy("start_word", F.desc("end_word"), "other_start_word", "other_end_word")
     reached = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("reached", reached).where("reached is null or end_word > reached").drop("reached")
@@ -469,6 +556,44 @@ def _equal_passages(docs: DataFrame, repeated: DataFrame, k: int, window: int, m
     return found
 
 
+def _further_pairs(docs: DataFrame, repeated: DataFrame, found: DataFrame, k: int, min_words: int, identity: float) -> DataFrame:
+    """Documents and smaller ones that may share a passage about a seed that lies in none found."""
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    held = repeated.where("not again")
+    inside = F.expr(f"exists(spans, s -> s.start_word <= place and s.end_word >= place + {k})")
+    left = held.where("doc_id <> other_id").join(spans, "doc_id", "left").where(~F.coalesce(inside, F.lit(False)))
+    left = keep(left.select("seed", "doc_id", "place", F.lit(True).alias("open")), "left")
+    seeds = left.select("seed").distinct()
+    holders = only_marked(held, "seed", seeds).join(seeds, "seed", "left_semi").select("seed", "doc_id", "place").join(left, ["seed", "doc_id", "place"], "left")
+    spots = holders.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "place", F.coalesce("open", F.lit(False)).alias("open"))).alias("spots"))
+    spots = keep(spots, "spots")
+    texts = only_marked(docs, "doc_id", spots.select("doc_id"))
+    # min_words words of which identity match lie this far from a seed at most, in either document
+    reach = int(min_words / identity) - k
+    kind = "seed bigint, doc_id bigint, open boolean, n int, same bigint, odd binary"
+    contexts = keep(texts.join(spots, "doc_id").mapInArrow(_contexts(k, reach), kind), "contexts")
+    # of equal contexts the smallest document's stands for all: the others lie in passages of equal words
+    firsts = contexts.groupBy("seed", "same").agg(F.min(F.struct("doc_id", "open", "n", "odd")).alias("f")).select("seed", "f.*")
+    places = keep(firsts, "places")
+    several = places.groupBy("seed").agg(F.count("*").alias("places"), F.max("open").alias("any")).where("places > 1 and any").select("seed", F.ceil(F.col("places") / BLOCK).cast("int").alias("parts"))
+    blocked = places.join(several, "seed").withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocked = blocked.select("seed", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"), "block", "doc_id", "open", "n", "odd")
+    least = -int(-identity * min_words // 1)
+    near = blocked.repartition("seed", "p", "q").sortWithinPartitions("seed", "p", "q").mapInArrow(_near(least), "doc_id bigint, other_id bigint")
+    pairs = keep(near.distinct(), "pairs")
+    for table in (left, spots, contexts, places):
+        discard(table)
+    return pairs
+
+
+def _shared_seeds(repeated: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Places of all seeds that pairs share, the first one in the smaller document."""
+    held = repeated.where("not again").select("seed", "doc_id", "place")
+    mine = only_marked(held, "doc_id", pairs.select("doc_id")).join(pairs, "doc_id")
+    theirs = only_marked(held, "doc_id", pairs.select("other_id")).groupBy(F.col("doc_id").alias("other_id"), "seed").agg(F.min("place").alias("other_place"))
+    return mine.join(theirs, ["other_id", "seed"])
+
+
 def _aligned_passages(docs: DataFrame, chains: DataFrame, min_words: int, identity: float) -> DataFrame:
     """Passages of all chains; those whose extension meets the end of its slice are aligned again with longer ones."""
     keys = ["doc_id", "other_id", "first"]

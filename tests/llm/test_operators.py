@@ -362,6 +362,31 @@ def test_passages_of_common_sentences(spark):
     assert sum(map(len, wanted.values())) >= 40 * 56 and all(wanted[i] <= got[i] for i in texts)
 
 
+def test_passages_with_changed_words_and_seeds_of_others(spark, monkeypatch):
+    """Two documents share a passage of which every 30th word differs; smaller documents hold its seeds singly."""
+    rng = np.random.default_rng(10)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 50_000, n)]
+    shared = word(300)
+    changed = [w if 20 <= i < 280 and i % 30 else f"c{i}" for i, w in enumerate(shared)]
+    texts = {i: word(60) + shared[10 * i : 10 * i + 30] + word(60) for i in range(28)}
+    texts |= {50: word(40) + shared + word(40), 60: word(80) + changed + word(30), 70: word(70) + shared[100:129] + word(50)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    for block in (1024, 4):
+        monkeypatch.setattr(passages, "BLOCK", block, raising=False)
+        got = passages.repeated_passages(docs).collect()
+        assert [(r.doc_id, r.other_id, r.start_word, r.end_word) for r in got] == [(60, 50, 100, 360)]
+
+
+def test_parity_sketches():
+    """Sketches never show more differences than there are."""
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        a, b = rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, (2, 90))]
+        odd = passages.parity_sketches(np.concatenate([a, b]), np.repeat([0, 1], 90), 2)
+        x, y = Counter(a.tolist()), Counter(b.tolist())
+        assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= ((x - y) + (y - x)).total()
+
+
 def test_passages_cover_all_equal_runs_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     words = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
