@@ -17,7 +17,7 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _STEP = 0x9E3779B97F4A7C1B  # odd and 3 modulo 8, so that its powers stay far from one
 _MULT = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18  # bytes hashed at once; tables and sums of them fit a core's cache
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -46,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * _WINDOW)
+        size = max(n, _WINDOW + 1)
         for key, base in (("up", _STEP), ("down", pow(_STEP, -1, 2**64))):
             factors = np.full(size, base, np.uint64)
             factors[0] = 1
@@ -69,7 +69,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each, one row at least."""
     if not batch.num_rows:
         return

@@ -85,6 +85,24 @@ def shingle_set(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
+def test_sets_of_a_large_batch_take_little_memory():
+    """Numbers of a batch's words are never all in memory at once, so that several tasks fit beside an executor's heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpusloom.llm import kernels
+
+    texts = [" ".join(f"w{i * j % 9973}" for j in range(1000)) for i in range(1, 1001)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    for block in kernels.blocks(batch, "text"):
+        kernels.row_sets(block, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
 @pytest.mark.parametrize("frequent", [256, 1])
 def test_jaccard_join(spark, docs, frequent):
     rows = [(r.doc_id, shingle_set(r.text)) for r in docs.select("doc_id", "text").collect()]
