@@ -342,7 +342,8 @@ def _live_keys(texts: DataFrame, levels: np.ndarray, k: int, frequent: int) -> D
     discard(groups)
     often, basic = F.col("nodes") > frequent, F.col("place") <= F.floor(F.col("n") / 5)
     extended = shared.where(often & basic).select("node").distinct()
-    single = shared.where(~often).join(extended.withColumn("longer", F.lit(True)), "node", "left").where(basic | F.col("longer")).select("key", "node", "n")
+    rare = shared.where(~often).select("key", "node", "n", basic.alias("basic"))
+    single = rare.where("basic").union(rare.where("not basic").join(extended, "node", "left_semi").select(*rare.columns)).drop("basic")
     some = shared.where(often).join(extended, "node", "left_semi").groupBy("node", "n").agg(F.collect_list(F.struct("key", "place")).alias("t"))
     combined = some.select("node", "n", F.col("t.key").alias("tokens"), F.col("t.place").alias("places")).mapInArrow(_combined, "key bigint, node bigint, n int")
     return keep(single.union(combined).distinct(), "live")

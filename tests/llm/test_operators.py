@@ -103,6 +103,27 @@ def test_sets_of_a_large_batch_take_little_memory():
     assert peak < 40 << 20
 
 
+def test_live_keys_join_no_row_that_stays_anyway(spark, docs, monkeypatch):
+    """Rare tokens of the basic prefix are live whatever else their node has; only the others are joined."""
+    plans = {}
+
+    def kept(frame, name):
+        plans[name] = frame._jdf.queryExecution().optimizedPlan().toString()
+        return shared.keep(frame, name)
+
+    monkeypatch.setattr(jaccard_join, "keep", kept)
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    live = {tuple(r) for r in jaccard_join._live_keys(texts, np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8), 5, 2).collect()}
+    assert "LeftOuter" not in plans["live"] and "LeftSemi" in plans["live"]
+    index = texts.mapInArrow(jaccard_join._index(5, np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8)), "key bigint, node bigint, n int, place int").collect()
+    count, nodes = Counter(r.key for r in index), defaultdict(set)
+    for r in index:
+        nodes[r.key].add(r.node)
+    extended = {r.node for r in index if count[r.key] > 2 and len(nodes[r.key]) > 1 and r.place <= r.n // 5}
+    single = {(r.key, r.node, r.n) for r in index if len(nodes[r.key]) > 1 and count[r.key] <= 2 and (r.place <= r.n // 5 or r.node in extended)}
+    assert extended and single and single <= live
+
+
 @pytest.mark.parametrize("frequent", [256, 1])
 def test_jaccard_join(spark, docs, frequent):
     rows = [(r.doc_id, shingle_set(r.text)) for r in docs.select("doc_id", "text").collect()]
