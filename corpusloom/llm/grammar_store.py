@@ -61,6 +61,10 @@ def compress(seq: np.ndarray, last: np.ndarray, least: int = 16, round_rules: in
             break
         by_key = np.argsort(chosen)
         wanted = pairs[chosen[by_key]]
+        near = np.zeros(1 << 18, bool)
+        near[((wanted * _HASH) >> np.uint64(46)).astype(np.int32)] = True
+        some = near[slot[at]]
+        at, there = at[some], there[some]
         place = np.minimum(np.searchsorted(wanted, there), len(wanted) - 1)
         use = wanted[place] == there
         at, symbol = at[use], by_key[place[use]]
