@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .kernels import blocks, mix, row_sets
 from .shared import discard, keep, only_marked
+from .tokens import release_encoders
 
 SKETCH_BITS = 21
 CHUNK = 4096
@@ -81,6 +82,7 @@ def _summary(k: int):
     """Rows of each document (id, n, digest), then this task's part of the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
         seen: set[bytes] = set()
         for whole in batches:
@@ -175,6 +177,7 @@ def combination_keys(tokens: np.ndarray, place: np.ndarray, n: int) -> np.ndarra
 
 def _index(k: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for whole in batches:
             for batch in blocks(whole, "text"):
                 value, at = row_sets(batch, k)

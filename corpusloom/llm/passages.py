@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from .kernels import alphanumeric, blocks, find_words, hash_spans, mix, row_shingles, text_bytes
 from .shared import discard, free_name, keep, only_marked
+from .tokens import release_encoders
 
 _CHAIN = "doc_id bigint, other_id bigint, first int, last int, other_first int, other_last int, anchors array<int>"
 _PASSAGE = "doc_id bigint, other_id bigint, start_word int, end_word int, other_start_word int, other_end_word int, matched int"
@@ -77,6 +78,7 @@ def minimizers(value: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndar
 
 def _seeds(k: int, window: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for whole in batches:
             for batch in blocks(whole, "text"):
                 data, _, starts, ends, first = _words(batch)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .kernels import blocks, find_words, hash_spans, mix, text_bytes
 from .shared import free_name
 from .sums import KIND, array_sums, labelled_sample, remainder, total
+from .tokens import release_encoders
 
 BITS, DIM, REACH, SHAPES = 15, 32, 2, 128
 ROWS = (1 << BITS) + SHAPES
@@ -68,6 +69,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """Sums of neighbours' index vectors for every bucket and shape."""
+    release_encoders()
     places, signs = index_vectors()
     sums = np.zeros(ROWS * DIM)
     for whole in batches:

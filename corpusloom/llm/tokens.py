@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -163,6 +164,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[key]
 
 
+def release_encoders() -> None:
+    """Free this worker's encoders, which a task of another step may have left in it, and give the memory back to the system."""
+    if not _encoders:
+        return
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -286,6 +286,19 @@ def test_added_tokens_are_one_id(spark):
     assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs).collect()} == wanted
 
 
+def test_steps_without_tokens_release_encoders():
+    """A worker that goes on to another step holds no encoder of an earlier one."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "one two three four five six"}])
+    levels = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8)
+    for step in (jaccard_join._index(5, levels), passages._seeds(8, 12, 50), lambda batches: [quality._contexts(batches)]):
+        tokens.encoder(tokens.default_tokenizer()).encode("some words")
+        assert tokens._encoders
+        list(step(iter([batch])))
+        assert not tokens._encoders
+
+
 def test_encoder_on_odd_strings():
     from tokenizers import Tokenizer
 
