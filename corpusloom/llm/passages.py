@@ -23,9 +23,12 @@ word of a run of `min_words` equal words or more is found whatever documents hol
 its sentences singly. Seeds that lie in no passage so far are then compared with
 all smaller documents that hold them, one of those with the same words beside the
 seed: parity sketches of the words beside it rule out pairs that can't share
-`identity` of `min_words` words there, the rest are chained by all seeds they share
-and aligned. So a passage with changed words is found whatever documents hold its
-seeds singly, if a seed lies in `min_words` words of it of which `identity` match.
+`identity` of `min_words` words there, for the rest the words on either side of the
+seed are aligned. So a passage with changed words is found whatever documents hold
+its seeds singly, if a seed lies in `min_words` words of it of which `identity` match.
+Of all that are found about a place two are returned, that which begins first and that
+which ends last: they hold every word that any does. Only their pairs are chained by
+all seeds they share, so rows grow with the places, not with the pairs of a group.
 
 In text of a period up to `window` words the seeds after the first repeat it. They
 lead to no chains, which would all begin at one place, but keep the whole text
@@ -451,7 +454,7 @@ def parity_sketches(words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def _contexts(k: int, reach: int):
-    """For each seed of a document the number, the sketch and a hash of the words up to `reach` beside it."""
+    """For each seed of a document the words up to `reach` beside it, their number, sketch and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -472,33 +475,102 @@ def _contexts(k: int, reach: int):
                     same = np.add.reduceat(mix(near + (where - at[spot] + reach).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.cumsum(n) - n) if len(some) else near
                     odd = parity_sketches(near, spot, len(some))
                     own = flat.take(pa.array(some))
+                    raw, edge = near.astype(np.uint32).tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [own.field("seed"), batch.column("doc_id").take(pa.array(row[some])), own.field("open"), pa.array(n.astype(np.int32)), pa.array(same.view(np.int64)), pa.array([o.tobytes() for o in odd], pa.binary())],
-                        names=["seed", "doc_id", "open", "n", "same", "odd"],
+                        [own.field("seed"), batch.column("doc_id").take(pa.array(row[some])), own.field("open"), own.field("place"), pa.array(n.astype(np.int32)), pa.array((at - low).astype(np.int32)), pa.array(same.view(np.int64)), pa.array([o.tobytes() for o in odd], pa.binary()), pa.array([raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())],
+                        names=["seed", "doc_id", "open", "place", "n", "before", "same", "odd", "words"],
                     )
 
     return run
 
 
-def _near(least: int):
-    """Pairs of an open place and one of a smaller document that sketches allow `least` common words; rows come sorted by (seed, p, q)."""
+def beside(a: np.ndarray, b: np.ndarray, identity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of b and 0, 1, ... first words of a: the words of b that suit best, the words in common, and what these exceed `identity` of the longer side by.
 
-    def of_group(table: pa.Table, two: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        doc, n, is_open = (table.column(c).to_numpy() for c in ("doc_id", "n", "open"))
+    The last word of a is one in common, else the excess is minus infinity.
+    """
+    row, n = np.zeros((len(b), b.shape[1] + 1), np.int16), np.arange(b.shape[1] + 1)
+    ends, same, over = np.zeros((len(b), len(a) + 1), np.int32), np.zeros((len(b), len(a) + 1), np.int32), np.full((len(b), len(a) + 1), -np.inf)
+    over[:, 0] = 0
+    every = np.arange(len(b))
+    for i, w in enumerate(a):
+        was = row.copy()
+        np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (b == w)), axis=1, out=row[:, 1:])
+        value = np.where(row > was, row - identity * np.maximum(i + 1, n), -np.inf)
+        j = value.argmax(1)
+        ends[:, i + 1], same[:, i + 1], over[:, i + 1] = j, row[every, j], value[every, j]
+    return ends, same, over
+
+
+def about_seed(left: tuple, right: tuple, k: int, min_words: int, identity: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of what `beside` gives for both sides of a seed: rows with a passage, words before and after the seed in a, and words in common.
+
+    First the longest before the seed that each row has, and with that the longest after it; then the other way.
+    """
+    i, j = np.ogrid[: left[2].shape[1], : right[2].shape[1]]
+    good = (left[2][:, :, None] + right[2][:, None, :] + (1 - identity) * k >= -1e-9) & (i + k + j >= min_words)
+    row = np.flatnonzero(good.any((1, 2)))
+    last = lambda x: x.shape[1] - 1 - x[:, ::-1].argmax(1)
+    out = []
+    for one in (True, False):
+        x = last(good[row].any(2 if one else 1)) if len(row) else row
+        y = last(good[row, x] if one else good[row, :, x]) if len(row) else row
+        before, after = (x, y) if one else (y, x)
+        out.append((row, before, after, left[1][row, before] + right[1][row, after] + k))
+    return out
+
+
+def _beside(words: list[np.ndarray], before: list[int], k: int) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """Words before (nearest first) and after each seed, and the same as matrices filled up with -1."""
+    left, right = [w[:n][::-1] for w, n in zip(words, before, strict=True)], [w[n + k :] for w, n in zip(words, before, strict=True)]
+    matrices = []
+    for side in (left, right):
+        out = np.full((len(side), max(map(len, side), default=0)), -1, np.int64)
+        for x, w in zip(out, side, strict=True):
+            x[: len(w)] = w
+        matrices.append(out)
+    return left, right, *matrices
+
+
+def _near(k: int, min_words: int, identity: float):
+    """Passages about open places from the words beside them: of all smaller documents' that which reaches farthest before the seed, and that after it.
+
+    Together these hold every word that any of them does. Sketches rule out most others first. Rows come sorted by (seed, p, q).
+    """
+    least = -int(-identity * min_words // 1)
+
+    def of_group(table: pa.Table, two: bool) -> list[tuple]:
+        doc, n, is_open, place = (table.column(c).to_numpy() for c in ("doc_id", "n", "open", "place"))
         side = table.column("block").to_numpy() != table.column("p").to_numpy()
         odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(doc), BITS // 64)
+        words = [np.frombuffer(w, np.uint32).astype(np.int64) for w in table.column("words").to_pylist()]
+        left, right, lefts, rights = _beside(words, table.column("before").to_pylist(), k)
         out = []
         for r in np.flatnonzero(is_open).tolist():
             at = np.flatnonzero((doc < doc[r]) & ((side != side[r]) | (not two)))
             at = at[np.bitwise_count(odd[at] ^ odd[r]).sum(1, dtype=np.int64) <= n[at].astype(np.int64) + int(n[r]) - 2 * least]
-            out.append((np.full(len(at), doc[r]), doc[at]))
+            best: list[tuple | None] = [None, None]
+            for some in np.array_split(at, len(at) // 256 + 1) if len(at) else ():
+                one, other = beside(left[r], lefts[some], identity), beside(right[r], rights[some], identity)
+                for i, (row, before, after, same) in enumerate(about_seed(one, other, k, min_words, identity)):
+                    span = np.maximum(before + k + after, one[0][row, before] + k + other[0][row, after])
+                    row, before, after, same = (x[same >= identity * span] for x in (row, before, after, same))
+                    if not len(row):
+                        continue
+                    order = (-before, -after) if i == 0 else (-after, -before)
+                    f = np.lexsort((doc[some[row]], *order[::-1]))[0]
+                    key = (*(int(o[f]) for o in order), int(doc[some[row[f]]]))
+                    if best[i] is None or key < best[i][0]:
+                        x, y, q = int(before[f]), int(after[f]), int(place[some[row[f]]])
+                        best[i] = key, (int(doc[r]), key[2], int(place[r]) - x, int(place[r]) + k + y, q - int(one[0][row[f], x]), q + k + int(other[0][row[f], y]), int(same[f]))
+            out += dict.fromkeys(b[1] for b in best if b)
         return out
 
     def of_groups(table: pa.Table, edges: list[int]) -> pa.RecordBatch:
         p, q = table.column("p").to_numpy(), table.column("q").to_numpy()
-        found = [pair for a, b in zip(edges[:-1], edges[1:], strict=True) for pair in of_group(table.slice(a, b - a), p[a] != q[a])]
-        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(2))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["doc_id", "other_id"])
+        rows = [row for a, b in zip(edges[:-1], edges[1:], strict=True) for row in of_group(table.slice(a, b - a), p[a] != q[a])]
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _PASSAGE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -538,10 +610,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 8, window:
     chains = keep(_by_pairs(repeated.where("not again")).mapInArrow(_chains(k, gap), _CHAIN), "chains")
     equal = _equal_passages(docs, repeated, k, window, min_words)
     found = keep(equal.unionByName(_aligned_passages(docs, chains, min_words, identity)), "found")
-    pairs = _further_pairs(docs, repeated, found, k, min_words, identity)
-    chains = keep(_by_pairs(_shared_seeds(repeated, pairs)).mapInArrow(_chains(k, gap), _CHAIN), "chains")
+    found = found.unionByName(_further_passages(docs, repeated, found, k, min_words, gap, identity))
     discard(repeated)
-    found = found.unionByName(_aligned_passages(docs, chains, min_words, identity))
     order = Window.partitionBy("doc_id", "other_id").orderBy("start_word", F.desc("end_word"), "other_start_word", "other_end_word")
     reached = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("reached", reached).where("reached is null or end_word > reached").drop("reached")
@@ -558,8 +628,16 @@ def _equal_passages(docs: DataFrame, repeated: DataFrame, k: int, window: int, m
     return found
 
 
-def _further_pairs(docs: DataFrame, repeated: DataFrame, found: DataFrame, k: int, min_words: int, identity: float) -> DataFrame:
-    """Documents and smaller ones that may share a passage about a seed that lies in none found."""
+def _further_passages(docs: DataFrame, repeated: DataFrame, found: DataFrame, k: int, min_words: int, gap: float, identity: float) -> DataFrame:
+    """Passages about seeds that lie in none found: by the words beside them, and all of the pairs of documents that these are of."""
+    near = keep(_blocked(_open_places(docs, repeated, found, k, min_words, identity)).mapInArrow(_near(k, min_words, identity), _PASSAGE), "near")
+    pairs = keep(near.select("doc_id", "other_id").distinct(), "pairs")
+    chains = keep(_by_pairs(_shared_seeds(repeated, pairs)).mapInArrow(_chains(k, gap), _CHAIN), "chains")
+    return near.unionByName(_aligned_passages(docs, chains, min_words, identity))
+
+
+def _open_places(docs: DataFrame, repeated: DataFrame, found: DataFrame, k: int, min_words: int, identity: float) -> DataFrame:
+    """Seeds that lie in no passage found, all places of the same seeds, and the words beside them."""
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     held = repeated.where("not again")
     inside = F.expr(f"exists(spans, s -> s.start_word <= place and s.end_word >= place + {k})")
@@ -572,20 +650,22 @@ def _further_pairs(docs: DataFrame, repeated: DataFrame, found: DataFrame, k: in
     texts = only_marked(docs, "doc_id", spots.select("doc_id"))
     # min_words words of which identity match lie this far from a seed at most, in either document
     reach = int(min_words / identity) - k
-    kind = "seed bigint, doc_id bigint, open boolean, n int, same bigint, odd binary"
+    kind = "seed bigint, doc_id bigint, open boolean, place int, n int, before int, same bigint, odd binary, words binary"
     contexts = keep(texts.join(spots, "doc_id").mapInArrow(_contexts(k, reach), kind), "contexts")
     # of equal contexts the smallest document's stands for all: the others lie in passages of equal words
-    firsts = contexts.groupBy("seed", "same").agg(F.min(F.struct("doc_id", "open", "n", "odd")).alias("f")).select("seed", "f.*")
+    firsts = contexts.groupBy("seed", "same").agg(F.min(F.struct("doc_id", "open", "place", "n", "before", "odd", "words")).alias("f")).select("seed", "f.*")
     places = keep(firsts, "places")
+    for table in (left, spots, contexts):
+        discard(table)
+    return places
+
+
+def _blocked(places: DataFrame) -> DataFrame:
+    """Places of seeds that have an open one, in pairs of blocks of about BLOCK, sorted by these."""
     several = places.groupBy("seed").agg(F.count("*").alias("places"), F.max("open").alias("any")).where("places > 1 and any").select("seed", F.ceil(F.col("places") / BLOCK).cast("int").alias("parts"))
     blocked = places.join(several, "seed").withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocked = blocked.select("seed", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"), "block", "doc_id", "open", "n", "odd")
-    least = -int(-identity * min_words // 1)
-    near = blocked.repartition("seed", "p", "q").sortWithinPartitions("seed", "p", "q").mapInArrow(_near(least), "doc_id bigint, other_id bigint")
-    pairs = keep(near.distinct(), "pairs")
-    for table in (left, spots, contexts, places):
-        discard(table)
-    return pairs
+    blocked = blocked.select("seed", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"), "block", "doc_id", "open", "place", "n", "before", "odd", "words")
+    return blocked.repartition("seed", "p", "q").sortWithinPartitions("seed", "p", "q")
 
 
 def _shared_seeds(repeated: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -429,6 +429,28 @@ def test_passages_with_changed_words_and_seeds_of_others(spark, monkeypatch):
         assert [(r.doc_id, r.other_id, r.start_word, r.end_word) for r in got] == [(60, 50, 100, 360)]
 
 
+def test_passages_without_long_equal_runs_beside_their_seed(spark, monkeypatch):
+    """Every fifth word beside the seed differs, so no equal words lead on from it; a group of such documents gives rows by places, not by pairs."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 50_000, n)]
+    shared = word(62)
+    changed = lambda i: [w if 20 <= j < 42 or j % 5 else f"c{i}x{j}" for j, w in enumerate(shared)]
+    texts = {0: word(60) + shared[20:42] + word(60), 1: word(40) + shared + word(40)}
+    texts |= {i: word(30) + changed(i) + word(30) for i in range(2, 40)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    for block in (1024, 8):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = passages.repeated_passages(docs).collect()
+        assert {(r.doc_id, r.start_word, r.end_word) for r in got if r.other_id == 1} >= {(2, 31, 92)}
+        held = {i: set() for i in texts}
+        for r in got:
+            held[r.doc_id].update(range(r.start_word, r.end_word))
+            own, other = (np.array([int.from_bytes(w.encode(), "big") % (1 << 61) for w in texts[d][s:e]]) for d, s, e in ((r.doc_id, r.start_word, r.end_word), (r.other_id, r.other_start_word, r.other_end_word)))
+            assert len(own) >= 50 and passages._table(own, other)[-1, -1] >= r.matched >= 0.8 * max(len(own), len(other))
+        assert all(held[i] >= set(range(31, 92)) for i in range(2, 40)) and not held[0] and not held[1]
+        assert block < 1024 or len(got) <= 4 * len(texts)
+
+
 def test_parity_sketches():
     """Sketches never show more differences than there are."""
     rng = np.random.default_rng(11)
