@@ -493,9 +493,9 @@ def beside(a: np.ndarray, b: np.ndarray, identity: float) -> tuple[np.ndarray, n
     ends, same, over = np.zeros((len(b), len(a) + 1), np.int32), np.zeros((len(b), len(a) + 1), np.int32), np.full((len(b), len(a) + 1), -np.inf)
     over[:, 0] = 0
     every = np.arange(len(b))
-    for i, w in enumerate(a):
+    for i in np.flatnonzero(np.isin(a, b)).tolist():  # other words change no length
         was = row.copy()
-        np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (b == w)), axis=1, out=row[:, 1:])
+        np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (b == a[i])), axis=1, out=row[:, 1:])
         value = np.where(row > was, row - identity * np.maximum(i + 1, n), -np.inf)
         j = value.argmax(1)
         ends[:, i + 1], same[:, i + 1], over[:, i + 1] = j, row[every, j], value[every, j]
@@ -630,7 +630,9 @@ def _equal_passages(docs: DataFrame, repeated: DataFrame, k: int, window: int, m
 
 def _further_passages(docs: DataFrame, repeated: DataFrame, found: DataFrame, k: int, min_words: int, gap: float, identity: float) -> DataFrame:
     """Passages about seeds that lie in none found: by the words beside them, and all of the pairs of documents that these are of."""
-    near = keep(_blocked(_open_places(docs, repeated, found, k, min_words, identity)).mapInArrow(_near(k, min_words, identity), _PASSAGE), "near")
+    places = _open_places(docs, repeated, found, k, min_words, identity)
+    near = keep(_blocked(places).mapInArrow(_near(k, min_words, identity), _PASSAGE), "near")
+    discard(places)
     pairs = keep(near.select("doc_id", "other_id").distinct(), "pairs")
     chains = keep(_by_pairs(_shared_seeds(repeated, pairs)).mapInArrow(_chains(k, gap), _CHAIN), "chains")
     return near.unionByName(_aligned_passages(docs, chains, min_words, identity))
