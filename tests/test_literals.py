@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from corpusloom.functions import questions as Q
 from corpusloom.functions import text as T
 from corpusloom.functions.patterns import contains_any, literals_in
 from corpusloom.operators import corpus, mining, retrieval, training
-from corpusloom.plans.catalog import QUERIES
+from corpusloom.plans.catalog import ORACLES, QUERIES
 from corpusloom.sources import crawl, file_source, files, html
 from corpusloom.sources.tables import numbered
 from corpusloom.streaming import ingest
@@ -54,6 +55,26 @@ def test_html_documents():
     assert html.document_of(deep, "s") == ("s", "deep")
 
 
+def test_html_references_without_a_semicolon(spark):
+    """They are read like others by default; else they stay as they are, wherever they stand, as html_document's SQL has them."""
+    page = "<title>a &amp;&amp &am</title><main><h1 id='x&amp'>h &lt;&copy &notit; &#65;&#66 &</h1><p>\U000f0000 &amp;lt; &quot;q</main>"
+    assert html.document_of(page, "s") == ("a && &am", "h <\u00a9 \u00acit; AB &\n\U000f0000 &lt; \"q")
+    assert html.document_of(page, "s", open_references=False) == ("a &&amp &am", "h <&copy &notit; A&#66 &\n\U000f0000 &lt; \"q")
+    assert html.Tree("<p id='x&amp'>", open_references=False).elements[0]["id"] == "x&amp"
+    rows = spark.createDataFrame([(page,), (None,)], "html string").select(html.html_document("html", F.lit("s"), open_references=False).alias("d")).collect()
+    assert [r.d.title for r in rows] == ["a &&amp &am", "s"]
+
+
+def test_html_document_of_cut_references(spark, tmp_path):
+    """The query gives the rows of its SQL where a title or heading ends within a reference."""
+    cut = [f"<title>T &amp;{r}</title><article><h1>T &amp;{r}</h1><p>one</p><p>two</p><p>three</p><p>four &quot;</p></article>" for r in ("", "&", "&a", "&am", "&amp", "&quo", "&quot", "&amp;")]
+    spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(cut)], "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.execute(ORACLES["html_document"]).fetchall()
+    assert sorted(tuple(r) for r in QUERIES["html_document"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 8
+
+
 def test_html_takes_linear_time():
     """A hundred thousand end tags without a start, or with many elements open, and many blocks around each other."""
     began = time.time()
