@@ -75,6 +75,19 @@ def test_html_document_of_cut_references(spark, tmp_path):
     assert sorted(tuple(r) for r in QUERIES["html_document"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 8
 
 
+def test_file_documents_of_cut_references(spark, tmp_path):
+    """The query gives the rows of its SQL where a title ends within a reference; texts that aren't HTML keep theirs."""
+    cut = [f"<title>T &amp;{r}</title><article><h1>T</h1><p>one</p><p>two</p><p>three</p><p>four</p></article>" for r in ("&", "&am", "&amp", "&quot")]
+    spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(cut)], "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "a &amp;&amp b"), (2, None)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        for t in ("pages", "documents"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        want = con.execute(ORACLES["file_documents"]).fetchall()
+    got = [tuple(r) for r in QUERIES["file_documents"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) == 6
+
+
 def test_html_takes_linear_time():
     """A hundred thousand end tags without a start, or with many elements open, and many blocks around each other."""
     began = time.time()
