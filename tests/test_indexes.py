@@ -126,6 +126,43 @@ def test_sparse_index_reads_its_terms_buckets_only(spark, tmp_path):
     assert 0 < looked < 0.5 * pairs
 
 
+def test_sparse_index_takes_little_disk(spark, tmp_path):
+    """The tables of an index that is built, added to and removed from, and the shuffle files that this leaves, take less than twice what the documents do."""
+
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(f.length() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_"))
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/docs")
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet"))
+    before, index = shuffled(), sparse_index.SparseIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    index.add(docs.where("doc_id % 2 = 0")).add(docs.where("doc_id % 2 = 1")).remove(docs.where("doc_id % 4 = 1"))
+    assert shuffled() - before + size("index") < 2 * size("docs")
+
+
+def test_sparse_index_windows(spark, tmp_path, monkeypatch):
+    """Postings of several cells and windows, long and short lists, frequencies beyond 16 bits, and removals of which marks are sent in slices."""
+    monkeypatch.setattr(sparse_index, "MARKS", 2000)
+    rng = np.random.default_rng(8)
+    docs = dict(texts(700, 6)) | {1000 + i: " ".join(f"r{j}" for j in rng.integers(0, 500, 30)) for i in range(300)} | {2000: "w1 " * 70_000, 2001: None, -5: "w1 w2"}
+    index = sparse_index.SparseIndex(spark, f"file://{tmp_path}/index", buckets=4, per_cell=32).add(docs_of(spark, list(docs.items())).repartition(3))
+    asked = [*QUERIES, (5, "r1 r2 r3 w1"), (6, "w1")]
+    frame = spark.createDataFrame(asked, "query_id bigint, text string")
+    same(rows(index.search(frame)), plain_bm25(docs.items(), asked, 10))
+    index.remove(docs_of(spark, [(i, "") for i in docs if i % 5 == 0]))
+    docs = {i: t for i, t in docs.items() if i % 5}
+    same(rows(index.search(frame)), plain_bm25(docs.items(), asked, 10))
+    df = {r.term: r.df for r in index._read("terms", sparse_index._TERMS).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").collect()}
+    assert df == Counter(w for t in docs.values() for w in set((t or "").split()))
+
+
+def test_sparse_index_of_another_layout(spark, tmp_path):
+    spark.createDataFrame([('{"version": 1, "batches": []}',)], "value string").coalesce(1).write.text(f"file://{tmp_path}/index/states/00000001")
+    with pytest.raises(ValueError, match="another layout"):
+        sparse_index.SparseIndex(spark, f"file://{tmp_path}/index")
+
+
 def test_dense(spark, tmp_path):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 8)) * 5
