@@ -173,7 +173,8 @@ class SparseIndex:
         return self._read("documents", _DOCUMENTS).join(self._gone(), ["batch", "doc_id"], "left_anti")
 
     def _gone(self, batches: tuple[str, ...] | None = None) -> DataFrame:
-        return self._read("gone", _GONE, batches).select(F.col("home").alias("batch"), "doc_id")
+        """batch, doc_id; joins sort them, as their files are far smaller than a table of them that is sent to the tasks."""
+        return self._read("gone", _GONE, batches).select(F.col("home").alias("batch"), "doc_id").hint("merge")
 
     def _members(self) -> DataFrame:
         """batch, window, keys, dls."""
@@ -206,7 +207,7 @@ class SparseIndex:
 
     def _commit(self, batch: str, replaced: DataFrame) -> SparseIndex:
         docs = self._read("documents", _DOCUMENTS, (batch,))
-        gone = self.documents().select("batch", "doc_id", "dl").join(replaced, "doc_id", "left_semi").select(F.col("batch").alias("home"), "doc_id", "dl")
+        gone = self.documents().select("batch", "doc_id", "dl").join(replaced.hint("merge"), "doc_id", "left_semi").select(F.col("batch").alias("home"), "doc_id", "dl")
         self._write(gone, "gone", batch)
         self._write(docs.select("doc_id", "dl", "terms", "tfs").mapInArrow(_windows, _BLOCKS), "blocks", batch)
         changes = self._read("blocks", _BLOCKS, (batch,)).where("bucket <> -1").select("term", F.col("n").cast("bigint").alias("df"))
